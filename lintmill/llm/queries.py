@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintmill.llm import decontaminate, mixing, quality, secrets, simhash
+from lintmill.llm import decontaminate, mixing, ngram, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(_table(spark, sf_dir, "documents"), held_out_fold=1, order=3)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, agreement=0.8)
 
@@ -40,7 +44,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_quality_classifier, op2_simhash_near_dedup, op6_decontaminate, op8_secret_scan, op9_mix_sources, pipeline)
+QUERIES = (op1_quality_classifier, op2_simhash_near_dedup, op5_lm_score, op6_decontaminate, op8_secret_scan, op9_mix_sources, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
