@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintmill.llm import decontaminate, mixing, ngram, quality, secrets, simhash
+from lintmill.llm import decontaminate, mixing, ngram, quality, secrets, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +38,17 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_quality_classifier, op2_simhash_near_dedup, op5_lm_score, op6_decontaminate, op8_secret_scan, op9_mix_sources, pipeline)
+QUERIES = (op1_quality_classifier, op2_simhash_near_dedup, op5_lm_score, op6_decontaminate, op8_secret_scan, op9_mix_sources, op10_substring_dedup, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
