@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintmill.llm import decontaminate, html_text, mixing, ngram, quality, secrets, simhash, substrings
+from lintmill.llm import decontaminate, html_text, media, mixing, ngram, quality, secrets, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, agreement=0.8)
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.documents_as_media(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(_table(spark, sf_dir, "documents"), threshold=0.5)
 
@@ -52,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_quality_classifier, op2_simhash_near_dedup, op4_html_extract, op5_lm_score, op6_decontaminate, op8_secret_scan, op9_mix_sources, op10_substring_dedup, pipeline)
+QUERIES = (op1_quality_classifier, op2_simhash_near_dedup, op4_html_extract, op5_lm_score, op6_decontaminate, op7_media_columns, op8_secret_scan, op9_mix_sources, op10_substring_dedup, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
