@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintmill.llm import decontaminate, html_text, media, mixing, ngram, quality, secrets, simhash, substrings
+from lintmill.llm import decontaminate, html_text, media, mixing, ngram, quality, secrets, simhash, substrings, transcripts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_quality_classifier, op2_simhash_near_dedup, op4_html_extract, op5_lm_score, op6_decontaminate, op7_media_columns, op8_secret_scan, op9_mix_sources, op10_substring_dedup, pipeline)
+QUERIES = (op1_quality_classifier, op2_simhash_near_dedup, op3_chat_format, op4_html_extract, op5_lm_score, op6_decontaminate, op7_media_columns, op8_secret_scan, op9_mix_sources, op10_substring_dedup, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
