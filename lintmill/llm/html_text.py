@@ -180,7 +180,7 @@ def features(found: list[_Block]) -> np.ndarray:
 
 
 #: Labelled pages, a stand-in for hand-marked ones: text blocks of main text begin with "+".
-def labelled_pages(n: int = 600, seed: int = 3) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 1200, seed: int = 3) -> list[tuple[str, list[str]]]:
     """(page, its main blocks) of known layouts made by seeded rules."""
     import random
 
@@ -218,7 +218,7 @@ def labelled_pages(n: int = 600, seed: int = 3) -> list[tuple[str, list[str]]]:
             lambda: f"<div class='footer'><p>{sentence(2, 12)}</p></div>",
             lambda: f"<div style='display:none'>{sentence(4, 30)}</div>",
         ]
-        body = "".join(rng.choice(away)() for _ in range(rng.randint(1, 4)))
+        body = "".join(rng.choice(away)() for _ in range(rng.randint(0, 4)))
         inner = f"<h1>{good(1, 8)}</h1>" if rng.random() < 0.8 else ""
         layout = i % 4
         for _ in range(rng.randint(1, 9)):
@@ -231,12 +231,14 @@ def labelled_pages(n: int = 600, seed: int = 3) -> list[tuple[str, list[str]]]:
                 inner += f"<h2>{good(1, 6)}</h2>"
             elif kind < 0.9:
                 inner += "<ul>" + "".join(f"<li>{good(1, 12)}</li>" for _ in range(2)) + "</ul>"
-            elif kind < 0.95:
+            elif kind < 0.93:
                 inner += f"<p><a href='/y'>{good(1, 5)}</a></p>"
+            elif kind < 0.96:
+                inner += f"<blockquote>{good(1, 20)}</blockquote><table><tr><td>{good(1, 4)}</td></tr></table><figure><figcaption>{good(1, 8)}</figcaption></figure>"
             else:
                 inner += rng.choice(away[2:])()
         body += (f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div class='post-content'>{inner}</div>", inner)[layout]
-        body += "".join(rng.choice(last)() for _ in range(rng.randint(1, 3)))
+        body += "".join(rng.choice(last)() for _ in range(rng.randint(0, 3)))
         if layout == 3:
             body += "".join(f"<p><a href='/z'>{sentence(1, 6)}</a></p><p>{sentence(1, 4)}</p>" for _ in range(rng.randint(0, 2)))
         out.append((f"<html><body>{body}</body></html>", main))
@@ -251,7 +253,7 @@ def train(pages: list[tuple[str, list[str]]] | None = None) -> Tree:
         if found:
             x.append(features(found))
             y += [float(b.text in wanted) for b in found]
-    return grow_tree(np.vstack(x), np.array(y), depth=14, least=3)
+    return grow_tree(np.vstack(x), np.array(y), depth=14, least=8)
 
 
 def main_text(tree: Tree, page: str | None) -> str:
