@@ -34,7 +34,7 @@ from lintmill.llm.suffixes import maximal_repeats
 
 LENGTH, GRAM, RUN = 200, 90, 128
 #: Bytes of text hashed at once, pieces a task holds before it combines them, bytes in one suffix array.
-CHUNK, HOLD, BLOCK = 2 << 20, 400_000, 1_500_000
+CHUNK, HOLD, BLOCK = 2 << 20, 300_000, 500_000
 _MUL = 0x9E3779B97F4A7C15
 _SELF, _MANY, _DIRECT = 1, 2, 4
 _SPAN, _CONTEXT, _HOT = 0, 1, 2
@@ -250,8 +250,15 @@ def _array_spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     r1, r2, meta = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
     row = owner[order]
     take = (cover > 0) & ((meta[row] & _SELF) > 0)
-    row = row[take]
-    yield _spans(r1[row], r2[row], (meta[row] >> 16) + order[take] - offsets[row], cover[take])
+    # one row for each run of a piece, not one for each start place
+    at = np.argsort(order[take])
+    row, start, size = row[take][at], order[take][at], cover[take][at]
+    reach = np.maximum.accumulate(start + size)  # pieces lie one after another, so this never reaches into the next
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+    last = np.append(np.nonzero(new)[0][1:] - 1, len(row) - 1)
+    row, start = row[new], start[new]
+    yield _spans(r1[row], r2[row], (meta[row] >> 16) + start - offsets[row], reach[last] - start)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +357,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def remove_repeats(docs: DataFrame, hot: int = 5000) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = 1500) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select("doc_id", text.alias("text")).withColumn("r1", F.xxhash64("text")).withColumn("r2", F.xxhash64(F.lit(7), "text"))

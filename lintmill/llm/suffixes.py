@@ -14,7 +14,7 @@ _UNKNOWN, _DIVERSE = 256, -1
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     new = np.ones(len(keys), dtype=np.int64)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -46,7 +46,7 @@ def suffix_array(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray
         ranks.append((2 * width, _rank(rank * (n + 1) + after)))
         width *= 2
     starts = np.nonzero(left >= least)[0]
-    order = starts[np.argsort(ranks[-1][1][starts], kind="stable")]
+    order = starts[np.argsort(ranks[-1][1][starts])]
     common = np.zeros(len(order), dtype=np.int64)
     if len(order) > 1:
         a, b = order[:-1], order[1:]
