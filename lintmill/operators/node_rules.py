@@ -86,7 +86,7 @@ _TABLE: list[tuple] = [
     ("no-script-url", "suspicious", "Script URL is a form of eval.", 'Literal[literal="string"][value=/^javascript:/i]'),
     ("no-self-compare", "suspicious", "Comparing to itself is potentially pointless.", _COMPARE, "attrs['left.text'] = attrs['right.text']"),
     ("no-sequences", "suspicious", "Unexpected use of comma operator.", 'SequenceExpression:not([parenthesized="true"])', "not (parent_type = 'ForStatement' and slot in ('init','update'))"),
-    ("no-throw-literal", "suspicious", "Expected an error object to be thrown.", "ThrowStatement[argument.type=/^(?:Literal|TemplateLiteral|ObjectExpression|ArrayExpression|BinaryExpression|UnaryExpression|ArrowFunctionExpression|FunctionExpression)$/], ThrowStatement[argument.name=\"undefined\"]"),
+    ("no-throw-literal", "suspicious", "Expected an error object to be thrown.", "ThrowStatement[argument.type=/^(?:Literal|TemplateLiteral|ObjectExpression|ArrayExpression|BinaryExpression|UnaryExpression|ArrowFunctionExpression|FunctionExpression)$/], ThrowStatement[argument.name=/^undefined$/]"),
     ("no-undefined", "suspicious", "Unexpected use of undefined.", 'Identifier[name="undefined"]', "slot not in ('property','key')"),
     ("no-void", "suspicious", "Expected 'undefined' and instead saw 'void'.", 'UnaryExpression[operator="void"]'),
     ("no-with", "suspicious", "Unexpected use of 'with' statement.", "WithStatement"),
@@ -138,11 +138,11 @@ _TABLE: list[tuple] = [
     ("no-static-only-class", "style", "Use an object instead of a class with only static members.", 'ClassBody[body.length="1"][body.0.static="true"]'),
     ("no-ternary", "style", "Ternary operator used.", "ConditionalExpression"),
     ("no-this-assignment", "style", "Do not assign `this` to `{{id.name}}`.", 'VariableDeclarator[init.type="ThisExpression"][id.type="Identifier"]'),
-    ("no-undef-init", "style", "It's not necessary to initialize '{{id.name}}' to undefined.", 'VariableDeclarator[init.name="undefined"][id.type="Identifier"]'),
+    ("no-undef-init", "style", "It's not necessary to initialize '{{id.name}}' to undefined.", 'VariableDeclarator[init.name=/^undefined$/][id.type="Identifier"]'),
     ("no-underscore-dangle", "style", "Unexpected dangling '_' in '{{name}}'.", "Identifier[name=/^_.|._$/]", "slot in ('id','params','property')"),
     ("no-unnecessary-array-flat-depth", "style", "Passing `1` as the `depth` argument is unnecessary.", 'CallExpression[callee.property.name="flat"][arguments.length="1"][arguments.0.raw="1"]'),
     ("no-unneeded-ternary", "style", "Unnecessary use of boolean literals in conditional expression.", 'ConditionalExpression[consequent.literal="boolean"][alternate.literal="boolean"]'),
-    ("no-useless-call", "style", "Unnecessary '.{{callee.property.name}}()'.", 'CallExpression[callee.property.name=/^(?:call|apply)$/][callee.object.type="Identifier"][arguments.0.raw="null"], CallExpression[callee.property.name=/^(?:call|apply)$/][callee.object.type="Identifier"][arguments.0.name="undefined"]'),
+    ("no-useless-call", "style", "Unnecessary '.{{callee.property.name}}()'.", 'CallExpression[callee.property.name=/^(?:call|apply)$/][callee.object.type="Identifier"][arguments.0.raw="null"], CallExpression[callee.property.name=/^(?:call|apply)$/][callee.object.type="Identifier"][arguments.0.name=/^undefined$/]'),
     ("no-useless-computed-key", "style", "Unnecessarily computed property {{key.raw}} found.", 'Property[computed="true"][key.type="Literal"], MethodDefinition[computed="true"][key.type="Literal"], PropertyDefinition[computed="true"][key.type="Literal"]'),
     ("no-useless-concat", "style", "Unexpected string concatenation of literals.", 'BinaryExpression[operator="+"][left.literal="string"][right.literal="string"]', "line = end_line"),
     ("no-var", "style", "Unexpected var, use let or const instead.", 'VariableDeclaration[kind="var"]:not([declare="true"])'),
