@@ -209,8 +209,37 @@ _TABLE: list[tuple] = [
 RULES = {row[0]: NodeRule(*row) for row in _TABLE if row[0] != "no-mixed-types-in-rest"}
 
 
+def _member_type(member) -> str | None:
+    while hasattr(member, "right"):
+        member = member.right
+    return member.type
+
+
+def _tests_by_type(rules: list[NodeRule]) -> dict[str | None, list[Column]]:
+    """For each node type the tests that can hold for it: the rule's name or null. None holds those for any type."""
+    out: dict[str | None, list[Column]] = {}
+    for r in rules:
+        members: dict[str | None, Column] = {}
+        for m in parse_selector(r.selector):
+            kind = _member_type(m)
+            members[kind] = row_test(m) if kind not in members else members[kind] | row_test(m)
+        for kind, test in members.items():
+            out.setdefault(kind, []).append(F.when(test & F.expr(r.extra) if r.extra else test, F.lit(r.name)))
+    return out
+
+
 def run_node_rules(nodes: DataFrame, names: list[str], language: str | None = None) -> DataFrame:
-    """(path, rule, node_id, line, col, start, end, attrs) of every match of the named rules, in one scan."""
+    """(path, rule, node_id, line, col, start, end, attrs) of every match of the named rules, in one scan.
+
+    A node is tested only by the rules of its type.
+    """
     rules = [RULES[n] for n in names if language is None or RULES[n].languages in ("all", language)]
-    hits = F.filter(F.array(*[F.when(r.test(), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    return nodes.select("path", F.explode(hits).alias("rule"), "node_id", "line", "col", "start", "end", "attrs")
+    tests = _tests_by_type(rules)
+    anywhere = tests.pop(None, [])
+    hits = F.array(*anywhere).cast("array<string>") if anywhere else F.lit(None).cast("array<string>")
+    chosen = F.when(F.lit(False), hits)
+    for kind, own in tests.items():
+        chosen = chosen.when(F.col("type") == kind, F.array(*own, *anywhere))
+    found = F.array_distinct(F.filter(chosen.otherwise(hits), lambda x: x.isNotNull()))
+    wanted = nodes if anywhere else nodes.where(F.col("type").isin(*tests))
+    return wanted.select("path", F.explode(found).alias("rule"), "node_id", "line", "col", "start", "end", "attrs")
