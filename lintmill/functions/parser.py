@@ -162,9 +162,7 @@ class Parser:
         if t.kind == "name":
             after = self.peek()
             if text == "let" and (after.kind in ("name",) or after.text in ("[", "{")):
-                s = self.variables(start)
-                self.semicolon()
-                return s
+                return self.var_statement(start)
             if text == "async" and after.text == "function" and not after.after_newline:
                 return self.function(start, declaration=True)
             if after.text == ":" and after.kind == "punct":

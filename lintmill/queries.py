@@ -423,3 +423,50 @@ def editor_latest_version(spark, sf_dir):
 @query("with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 1 hour then 0 else 1 end as opens from events), b as (select *, sum(opens) over (partition by user_id order by ts, event_id) as burst from g) select cast(user_id as varchar) as uri, max(event_id) as version, arg_max(props, event_id) as text from b group by user_id, burst")
 def editor_debounce(spark, sf_dir):
     return settled(_changes(spark, sf_dir), "1 hour").select("uri", "version", "text")
+
+
+# -- rules as data, visitors, places --------------------------------------------------------------
+
+
+@query(f"with {_SCRIPTS} select path, 'large-track' as rule, cast(instr(source, 'track(') - 1 as int) as col from scripts where cast(regexp_extract(source, 'track\\((\\d+)\\)', 1) as int) > 100")
+def rule_from_json(spark, sf_dir):
+    from lintmill.operators.node_rules import RULES
+    from lintmill.operators.plugins import json_rule, register
+
+    register(json_rule({"name": "large-track", "message": "{{text}}", "selector": 'CallExpression[callee.name="track"]', "where": [{"attr": "arguments.0.value", "op": "gt", "value": 100}]}))
+    try:
+        return run_node_rules(_script_tables(spark, sf_dir, "nodes").nodes, ["large-track"]).select("path", "rule", "col")
+    finally:
+        del RULES["large-track"]
+
+
+@query(f"with {_SCRIPTS} select path, cast(instr(source, 'track') - 1 as int) as col, 'call of track' as message from scripts where source like '%track(%'")
+def rule_visitor(spark, sf_dir):
+    from lintmill.operators.plugins import run_visitor
+
+    def create(context):
+        return {"CallExpression": lambda node: context.report(node, f"call of {node['callee'].get('name')}")}
+
+    return run_visitor(_scripts(spark, sf_dir), "calls", create).select("path", "col", "message")
+
+
+@query(f"with {_SCRIPTS} select path, cast(instr(source, 'track') - 1 as int) as at, ';' as before from scripts where source like '%;track(%'")
+def token_before_offset(spark, sf_dir):
+    from lintmill.operators.places import token_before
+
+    at = _scripts(spark, sf_dir).where("source like '%;track(%'").select("path", (F.instr("source", "track") - 1).alias("offset"))
+    found = token_before(_script_tables(spark, sf_dir, "tokens").tokens, at)
+    return found.select("path", F.col("offset").alias("at"), F.col("token.text").alias("before"))
+
+
+@query(f"with {_SCRIPTS} select path, cast(instr(source, 'track') - 1 as int) as at, 'Identifier' as type from scripts where source like '%track(%'")
+def innermost_node(spark, sf_dir):
+    from lintmill.operators.places import innermost
+
+    at = _scripts(spark, sf_dir).where("source like '%track(%'").select("path", (F.instr("source", "track") - 1).alias("offset"))
+    return innermost(_script_tables(spark, sf_dir, "nodes").nodes, at).select("path", F.col("offset").alias("at"), "type")
+
+
+@query("select page_id, 1 as part, regexp_extract(url, '^(\\w+)://', 1) as scheme, 'page/' || page_id || '.html' as path from pages")
+def page_paths(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.lit(1).alias("part"), F.regexp_extract("url", r"^(\w+)://", 1).alias("scheme"), F.format_string("page/%d.html", "page_id").alias("path"))
