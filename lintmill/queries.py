@@ -400,12 +400,12 @@ def range_comment_in_node(spark, sf_dir):
     return joined.where("l_shipdate >= o_orderdate and l_shipdate < o_orderdate + interval 30 day").select("o_orderkey", "l_linenumber")
 
 
-@query("select e.event_id, (select max(p.event_id) from events p where p.user_id = e.user_id and p.event_type = 'click' and p.event_id < e.event_id) as before from events e where e.event_type = 'purchase'")
+@query("select e.event_id, coalesce((select max(p.event_id) from events p where p.user_id = e.user_id and p.event_type = 'click' and p.event_id < e.event_id), -1) as before from events e where e.event_type = 'purchase'")
 def asof_token_before(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
     before = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
-    return events.withColumn("before", before).where("event_type = 'purchase'").select("event_id", "before")
+    return events.withColumn("before", F.coalesce(before, F.lit(-1).cast("long"))).where("event_type = 'purchase'").select("event_id", "before")
 
 
 # -- editor stream --------------------------------------------------------------------------------
