@@ -52,9 +52,10 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
 def merge_flat(files: DataFrame, entries: DataFrame) -> DataFrame:
     """(path, rules): entries whose regex matches a path, merged so that later ones win.
 
-    ``entries(ord, regex, rules MAP<STRING,STRING>)``; the fold is ordered by ``ord``.
+    ``entries(ord, regex, rules MAP<STRING,STRING>)``; the fold is ordered by ``ord``. Spark broadcasts the entries if
+    they are under its size threshold, as a configuration is.
     """
-    hits = files.select("path").join(F.broadcast(entries), F.expr("path rlike regex"), "left")
+    hits = files.select("path").join(entries, F.expr("path rlike regex"), "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("rules").isNotNull(), F.struct("ord", F.map_entries("rules").alias("e")))))
     empty = F.create_map().cast("map<string,string>")
 
