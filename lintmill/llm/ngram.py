@@ -5,11 +5,13 @@ backoff model: each kept n-gram is a state with arcs to the n-grams that extend
 arc, which costs its backoff weight, to the state of its longest kept suffix. Scoring walks the
 tokens once from left to right, carries the state, and adds the weights of arcs taken.
 
-Counts cover all training rows. An n-gram of two or more tokens is kept if its share of all training tokens is
-at least ``floor`` and it occurs twice or more; a share cannot be held by more than 1 / floor n-grams of one order, so
-the automaton that is broadcast has a bound that does not depend on the corpus. Unigrams are all counted, and none is
-dropped: those with a share of at least ``head`` are in the broadcast table (at most 1 / head),
-the others are looked up by a join on the word, whose rows are few because such words are rare.
+Counts cover all training rows, and every n-gram is kept (``floor`` above 0 keeps those of that share of all tokens).
+No table of n-grams is gathered: each place in a text, its word and the words before it, is dealt by the word before,
+so all n-grams, contexts and suffixes that a place needs are in one bucket of about ``capacity`` places, where its
+cost is found and summed by text. Words that occur more than ``capacity`` times are dealt by the pair they
+begin, which gives pair counts, and then by the pair they end. Only one pair's places must meet in one task. Words with
+a share of at least ``head`` have numbers in a broadcast table (at most 1 / head); others are named by 63 bits of
+their XXH64, and their unigrams are joined. ``build`` and ``walk`` are the same automaton in one memory.
 
 A text's tokens are whole; null and empty texts are one end token. Without training rows every
 score is that of a vocabulary of no words: log10(0.5 / 0.5) = 0 per token.
@@ -17,23 +19,29 @@ score is that of a vocabulary of no words: log10(0.5 / 0.5) = 0 per token.
 
 from __future__ import annotations
 
+import gc
 import math
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import cut, fold, pieces, utf8, words
+from lintmill.llm.common import FOLDS, cut, fold, pieces, utf8, words
 
 #: The end token; no word contains a newline.
 END = b"\n"
 #: Distinct entries that a task holds before it hands its partial counts on.
 FLUSH = 400_000
 DISCOUNT = 0.7
+#: Costs of places are summed in these units, so sums don't depend on the order of rows.
+UNIT = 2.0**-30
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -76,73 +84,6 @@ class Automaton:
     failure: list[int]
 
 
-@dataclass(frozen=True)
-class Levels:
-    """The kept n-grams by order: word numbers from 1, then sorted codes context * size + word."""
-
-    numbers: dict[bytes, int]
-    size: int
-    codes: list[np.ndarray]
-
-
-def level_counts(docs: DataFrame, shared, order: int) -> DataFrame:
-    """(state, word, n): how often ``word`` follows a state of ``order`` - 1 tokens, over all training rows.
-
-    Only pairs whose suffix is kept as well are counted: an n-gram is never more frequent than its parts.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for piece in pieces(batch, "text", 8 << 20):
-                held.append(_pairs(shared.value, utf8(piece.column("text")), order))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield from _pair_counts(held)
-                    held, size = [], 0
-        yield from _pair_counts(held)
-
-    return docs.select("text").mapInArrow(run, "code long, n long")
-
-
-def _pair_counts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if held:
-        codes, n = np.unique(np.concatenate(held), return_counts=True)
-        for start in range(0, len(codes), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[start : start + 100_000]), pa.array(n[start : start + 100_000].astype(np.int64))], ["code", "n"])
-
-
-def _pairs(model: Levels, texts: list[bytes], order: int) -> np.ndarray:
-    """Codes context * size + word of all n-grams of one order whose two shorter parts are kept."""
-    get = model.numbers.get
-    ids: list[int] = []
-    for text in texts:
-        ids.extend([get(w, 0) for w in tokens(text)])
-        ids.extend([0] * order)  # keeps n-grams inside their text
-    word = np.array(ids, dtype=np.int64)
-    state = word.copy()
-    for known in model.codes:  # states of the last 2, 3, ... tokens
-        longer = np.zeros_like(state)
-        longer[1:] = _lookup(known, state[:-1] * model.size + word[1:], (state[:-1] > 0) & (word[1:] > 0))
-        state = longer
-    # an n-gram's last part of order - 1 tokens must be kept, and so must its first
-    both = (state[:-1] > 0) & (word[1:] > 0)
-    if model.codes:
-        both &= state[1:] > 0
-    return state[:-1][both] * model.size + word[1:][both]
-
-
-def _lookup(known: np.ndarray, codes: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """1 + the place of each code in ``known``, 0 if it isn't there."""
-    out = np.zeros(len(codes), dtype=np.int64)
-    if len(known):
-        rows = np.nonzero(where)[0]
-        at = np.minimum(np.searchsorted(known, codes[rows]), len(known) - 1)
-        out[rows] = np.where(known[at] == codes[rows], at + 1, 0)
-    return out
-
-
 def build(numbers: dict[bytes, int], word_counts: np.ndarray, base: np.ndarray, codes: list[np.ndarray], counts: list[np.ndarray], total: int) -> Automaton:
     """The automaton of the kept n-grams; ``codes[k]`` are those of order k + 2 with contexts of order k + 1."""
     size = len(word_counts)
@@ -214,76 +155,311 @@ def walk(a: Automaton, ids: list[int]) -> float:
 
 
 def _collect_head(vocabulary: DataFrame, least: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """Numbers from 1 of the frequent words, the most frequent first, and their counts."""
     table = vocabulary.where(F.col("n") >= least).toPandas()
-    rows = sorted(zip(map(bytes, table["word"]), table["n"].tolist(), strict=True))
+    rows = sorted(zip(map(bytes, table["word"]), table["n"].tolist(), strict=True), key=lambda r: (-r[1], r[0]))
     return {w: i + 1 for i, (w, _) in enumerate(rows)}, np.array([0, *(n for _, n in rows)], dtype=np.int64)
 
 
-def score(docs: DataFrame, held_out_fold: int = 1, *, order: int = 3, floor: float = 4e-6, head: float = 5e-7) -> DataFrame:
+@dataclass(frozen=True)
+class Plan:
+    """What every task knows: the head, and how places are dealt."""
+
+    numbers: dict[bytes, int]
+    counts: np.ndarray  # by head number
+    base: np.ndarray
+    order: int
+    least: int  # count from which an n-gram is kept
+    capacity: int
+    buckets: int
+    hot: int  # head numbers up to this one occur more than ``capacity`` times
+    hot_buckets: int
+
+
+def _mix(*columns: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c in columns:
+        h = (h ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(24)
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """int64 columns by byte planes, compressed."""
+    n = len(columns[0])
+    planes = np.ascontiguousarray(np.stack(columns).view(np.uint8).reshape(len(columns), n, 8).transpose(0, 2, 1))
+    return struct.pack("<qq", len(columns), n) + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(body: bytes) -> list[np.ndarray]:
+    k, n = struct.unpack_from("<qq", body)
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(body[16:], 8 * k * n, asbytes=True), dtype=np.uint8)
+    return list(np.ascontiguousarray(planes.reshape(k, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(k, n))
+
+
+#: Rows of all kinds: texts and, packed for a flush, their words outside the head, places, sums, words whose backoff or unigram they need; contexts.
+TEXT, RARE, PLACES, SUMS, BACKOFF, UNIGRAM, CONTEXT = range(7)
+ROWS = pa.schema(
+    [("kind", pa.int32()), ("p", pa.int64()), ("g", pa.int64()), ("i", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_base", pa.float64())]
+    + [("mass", pa.float64()), ("covered", pa.float64()), ("keys", pa.list_(pa.int64())), ("body", pa.binary())]
+)
+ROWS_SQL = "kind int, p long, g long, i long, doc_id long, n_tokens long, n_head long, head_base double, mass double, covered double, keys array<long>, body binary"
+
+
+def _key(word: bytes) -> int:
+    """Name of a word outside the head: negative, 63 bits of its hash."""
+    return -(xxhash.xxh64_intdigest(word, 42) >> 1) - 1
+
+
+def _split(p: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Columns by bucket, in their order."""
+    order = np.argsort(p.astype(np.uint16) if len(p) and p.max() < 1 << 16 else p, kind="stable")
+    p, columns = p[order], [c[order] for c in columns]
+    starts = np.nonzero(np.concatenate(([True], p[1:] != p[:-1])))[0] if len(p) else []
+    for a, b in zip(starts, [*starts[1:], len(p)]):
+        yield int(p[a]), [c[a:b] for c in columns]
+
+
+def _flush(plan: Plan, g: int, texts: list[tuple]) -> list[dict]:
+    """Rows of one flush: its texts, their first tokens and the places after those, dealt by the word before."""
+    rows: list[dict] = []
+    lengths = np.array([len(t[2]) for t in texts])
+    word = np.fromiter((x for t in texts for x in t[2]), dtype=np.int64, count=int(lengths.sum()))
+    text = np.repeat(np.arange(len(texts)), lengths)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    head = np.bincount(text, word > 0, len(texts)).astype(np.int64).tolist()
+    head_base = np.bincount(text, plan.base[np.maximum(word, 0)], len(texts)).tolist()
+    for i, (doc_id, _, ids) in enumerate(texts):
+        rows.append({"kind": TEXT, "p": (g + i) % plan.buckets, "g": g, "i": i, "doc_id": doc_id, "n_tokens": len(ids), "n_head": head[i], "head_base": head_base[i]})
+    outside = np.nonzero(word < 0)[0]
+    if len(outside):
+        number, first = _number(text[outside], _number(word[outside])[0])
+        rows.append({"kind": RARE, "p": g % plan.buckets, "g": g, "body": _pack([word[outside][first], text[outside][first], np.bincount(number)])})
+    # at order 1 every token is its own start
+    start = at == 0 if plan.order > 1 else np.ones(len(at), dtype=bool)
+    rows += _unigrams(plan, g, text[start], word[start], np.zeros(int(start.sum())))
+    later = np.nonzero(~start)[0]
+    later = later[np.argsort(word[later - 1])]  # equal words before in a row, for the packing
+    train = np.array([t[1] for t in texts], dtype=np.int64)[text[later]]
+    before = [np.where(at[later] >= k, word[np.maximum(later - k, 0)], 0) for k in range(1, plan.order)]
+    if len(later):
+        v = before[0]
+        cold = (_mix(v) % np.uint64(plan.buckets)).astype(np.int64)
+        p = np.where((v > 0) & (v <= plan.hot), plan.buckets + (_mix(v, word[later]) % np.uint64(plan.hot_buckets)).astype(np.int64), cold)
+        for bucket, columns in _split(p, [v, word[later], text[later] * 2 + train, *before[1:]]):
+            rows.append({"kind": PLACES, "p": bucket, "g": g, "body": _pack(columns)})
+    return rows
+
+
+def _unigrams(plan: Plan, g: int, text: np.ndarray, word: np.ndarray, costs: np.ndarray) -> list[dict]:
+    """Sums of costs by text, with the unigrams of head words; other words are left to a join."""
+    rows: list[dict] = []
+    costs = costs + plan.base[np.maximum(word, 0)]
+    own, number = np.unique(text, return_inverse=True)
+    if len(own):
+        rows.append({"kind": SUMS, "p": g % plan.buckets, "g": g, "body": _pack([own, np.bincount(number, weights=np.rint(costs / UNIT)).astype(np.int64)])})
+    rare = word < 0
+    if rare.any():
+        rows.append({"kind": UNIGRAM, "p": g % plan.buckets, "g": g, "body": _pack([word[rare], text[rare], np.ones(int(rare.sum()), dtype=np.int64)])})
+    return rows
+
+
+def _emit_places(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    get = plan.numbers.get
+    held: list[tuple] = []
+    g, size = 0, 0
+    for batch in batches:
+        for piece in pieces(batch, "text", 4 << 20):
+            for row, doc_id, train, text in zip(piece.column("row").to_pylist(), piece.column("doc_id").to_pylist(), piece.column("train").to_pylist(), utf8(piece.column("text"))):
+                w = tokens(text)
+                ids = [get(x) or _key(x) for x in w]
+                g = row if not held else g
+                held.append((doc_id, train, ids))
+                size += len(ids)
+                if size > min(plan.capacity, FLUSH):
+                    yield from pa.Table.from_pylist(_flush(plan, g, held), ROWS).to_batches(1000)
+                    held, size = [], 0
+    if held:
+        yield from pa.Table.from_pylist(_flush(plan, g, held), ROWS).to_batches(1000)
+
+
+def _number(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct values or pairs of numbers, and a place of each."""
+    key = a if b is None else (a << 32) | b
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    number = np.empty(len(key), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def _bodies(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Names of the flushes, the flush of each place and the columns of the places of a bucket."""
+    places = table.filter(pc.equal(table.column("kind"), PLACES))
+    parts = [_unpack(x) for x in places.column("body").to_pylist()]
+    flush = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+    return places.column("g").to_numpy(), flush, [np.concatenate(c) for c in zip(*parts)]
+
+
+def _contexts(plan: Plan, v: np.ndarray, w: np.ndarray, p: np.ndarray, wanted: np.ndarray) -> list[dict]:
+    """For each wanted word v, what its kept pairs (v, w), given once each, take away: mass, unigrams of head words, other words."""
+    keep = np.isin(v, wanted)
+    order = np.argsort(v[keep], kind="stable")
+    v, w, p = v[keep][order], w[keep][order], p[keep][order]
+    names, starts = np.unique(v, return_index=True)
+    out = []
+    for name, a, b in zip(names.tolist(), starts, [*starts[1:], len(v)]):
+        near = w[a:b]
+        out.append({"kind": CONTEXT, "p": 0, "g": name, "mass": float(p[a:b].sum()), "covered": float((10.0 ** plan.base[near[near > 0]]).sum()), "keys": near[near < 0]})
+    return out
+
+
+def _pair_bucket(plan: Plan, table: pa.Table) -> list[dict]:
+    """Hot words: counts of the pairs (v, w), which go along with the places, now dealt by (u, v)."""
+    names, flush, (v, w, mark, *before) = _bodies(table)
+    number, first = _number(_number(v)[0], _number(w)[0])
+    count = np.bincount(number, weights=mark & 1).astype(np.int64)
+    kept = first[count >= plan.least]
+    rows = _contexts(plan, v[kept], w[kept], (count[number[kept]] - DISCOUNT) / plan.counts[v[kept]], np.unique(v))
+    far = before[0] if before else np.zeros_like(v)
+    for bucket, columns in _split((_mix(far, v) % np.uint64(plan.hot_buckets)).astype(np.int64), [v, w, mark, *before, count[number], flush]):
+        for f, own in _split(columns.pop(), columns):
+            rows.append({"kind": PLACES, "p": bucket, "g": int(names[f]), "body": _pack(own)})
+    return rows
+
+
+def _bucket(plan: Plan, table: pa.Table, paired: bool) -> list[dict]:
+    """Costs of all places of a bucket: longest kept n-gram first, else the context's backoff and the next shorter one."""
+    names, flush, columns = _bodies(table)
+    pair = columns.pop() if paired else None
+    v, w, mark, *before = columns
+    train = (mark & 1).astype(np.float64)
+    words_, (context, _) = _number(w)[0], _number(v)
+    gram, first = _number(context, words_)
+    seen = np.bincount(gram, weights=train)[gram] if pair is None else pair.astype(np.float64)
+    of = np.bincount(context, weights=train)[context] if pair is None else plan.counts[v].astype(np.float64)
+    kept = seen >= plan.least
+    p = np.where(kept, seen - DISCOUNT, 1.0) / np.where(kept, of, 1.0)
+    costs, found, known = np.log10(p), kept, of > 0
+    rows: list[dict] = []
+    if pair is None:
+        once = first[kept[first]]
+        rows += _contexts(plan, v[once], w[once], p[once], np.unique(v[~found & known]))
+    for far in before:
+        context, _ = _number(context, _number(far)[0])
+        gram, first = _number(context, words_)
+        seen, of = np.bincount(gram, weights=train)[gram], np.bincount(context, weights=train)[context]
+        inside = far != 0
+        kept = inside & (seen >= plan.least)
+        longer = np.where(kept, seen - DISCOUNT, 1.0) / np.where(kept, of, 1.0)
+        once = first[kept[first]]
+        size = int(context.max()) + 1
+        mass, covered = np.bincount(context[once], longer[once], size), np.bincount(context[once], p[once], size)
+        backoff = np.where(mass > 0, np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - covered, 1e-9)), 0.0)
+        costs = np.where(kept, np.log10(longer), costs + np.where(inside, backoff[context], 0.0))
+        p = np.where(kept, longer, p)
+    lost = ~found
+    text = mark >> 1
+    for f, (w_, text_, costs_, lost_, v_, known_) in _split(flush, [w, text, costs, lost, v, known]):
+        g = int(names[f])
+        # places without a kept pair end at the unigram; for the rest no word is looked up
+        rows += _unigrams(plan, g, text_, np.where(lost_, w_, 0), costs_)
+        ask = lost_ & known_
+        if ask.any():
+            rows.append({"kind": BACKOFF, "p": 0, "g": g, "body": _pack([v_[ask], text_[ask], np.ones(int(ask.sum()), dtype=np.int64)])})
+    return rows
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for g, body in zip(batch.column("g").to_pylist(), batch.column("body").to_pylist()):
+            keys, at, times = _unpack(body)
+            for start in range(0, len(keys), 100_000):
+                part = [x[start : start + 100_000] for x in (at, keys, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), g)), *map(pa.array, part)], ["g", "i", "key", "times"])
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files behind what has been cut; it acts on the driver's collected references."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    parts = [_unpack(x) for x in table.column("body").to_pylist()]
+    text = np.concatenate([x[0] for x in parts])
+    own, number = np.unique(text, return_inverse=True)
+    costs = np.bincount(number, weights=np.concatenate([x[1] for x in parts])) * UNIT
+    return pa.table({"g": pa.array(np.full(len(own), table.column("g")[0].as_py())), "i": pa.array(own), "cost": pa.array(costs)})
+
+
+def score(docs: DataFrame, held_out_fold: int = 1, *, order: int = 3, floor: float = 0.0, head: float = 5e-7, capacity: int = 800_000) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     training = whole.where(fold(F.col("doc_id")) != held_out_fold)
     vocabulary = cut(training.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    _release(spark)
+    total, distinct = map(int, vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
     bottom = total + 0.5 * (distinct + 1)
-    numbers, word_counts = _collect_head(vocabulary, max(2, math.ceil(head * total)))
-    base = np.log10((word_counts + 0.5) / bottom)
-
-    # words frequent enough to be part of a kept n-gram
-    least = max(2, math.ceil(floor * total))
-    eligible = {w: i for w, i in numbers.items() if word_counts[i] >= least}
-    codes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(Levels(eligible, len(word_counts), codes))
-        kept = level_counts(training, shared, n).groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        rows = kept.toPandas().sort_values("code")
-        codes = [*codes, rows["code"].to_numpy(dtype=np.int64)]
-        counts.append(rows["n"].to_numpy(dtype=np.int64))
-    automaton = spark.sparkContext.broadcast(build(numbers, word_counts, base, codes, counts, int(total)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton.value
-        get, unigram = a.numbers.get, a.base
-        for batch in batches:
-            for piece in pieces(batch, "text", 4 << 20):
-                out: list[tuple] = []
-                for text in utf8(piece.column("text")):
-                    w = tokens(text)
-                    ids = [get(x, 0) for x in w]
-                    rare = Counter([x for x, i in zip(w, ids) if not i])
-                    at = np.array(ids, dtype=np.int64)
-                    out.append((len(w), int((at > 0).sum()), float(unigram[at[at > 0]].sum()), walk(a, ids), list(rare), list(rare.values())))
-                cols = list(zip(*out, strict=True)) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.binary())), pa.array(cols[5], pa.list_(pa.int64()))],
-                    ["doc_id", "n_tokens", "n_head", "head_base", "head_score", "rare", "times"],
-                )
-
-    walked = whole.mapInArrow(run, "doc_id long, n_tokens long, n_head long, head_base double, head_score double, rare array<binary>, times array<long>")
-    return _with_rare(walked, vocabulary, math.ceil(max(2, head * total)), bottom, int(total), held_out_fold)
-
-
-def _with_rare(walked: DataFrame, vocabulary: DataFrame, least: int, bottom: float, total: int, held_out_fold: int) -> DataFrame:
-    """Adds the rare words' unigram terms, joined on the word, to what each text's walk gave."""
-    walked = cut(walked.withColumn("row", F.monotonically_increasing_id()))
-    rare = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("row", F.col("z.rare").alias("word"), F.col("z.times").alias("times"))
-    known = vocabulary.where(F.col("n") < least)
-    terms = rare.join(known, "word", "left").select(
-        "row",
-        F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(bottom)))).alias("term"),
-    )
-    per_row = terms.groupBy("row").agg(F.sum("known").alias("known"), F.sum("term").alias("term")).withColumnRenamed("row", "r")
-    out = walked.select("doc_id", "n_tokens", "n_head", "head_base", "head_score", "row").join(per_row, F.col("row") == F.col("r"), "left")
-    term = F.coalesce("term", F.lit(0.0))
+    rare_below = max(2, math.ceil(head * total))
+    numbers, counts = _collect_head(vocabulary, rare_below)
+    base = np.log10((counts + 0.5) / bottom)
+    base[0] = 0.0
+    hot = int((counts > capacity).sum())  # the most frequent words have the first numbers
+    share = 1 + 1 / (FOLDS - 1)
+    plan = Plan(numbers, counts, base, order, max(1, math.ceil(floor * total)), capacity, math.ceil(share * total / capacity) + 1, hot, math.ceil(share * int(counts[1 : hot + 1].sum()) / capacity) + 1)
+    shared = spark.sparkContext.broadcast(plan)
+
+    def dealt(key: tuple, table: pa.Table) -> pa.Table:
+        plan = shared.value
+        rest = table.filter(pc.not_equal(table.column("kind"), PLACES))
+        if rest.num_rows == table.num_rows:
+            return rest
+        rows = _pair_bucket(plan, table) if key[0].as_py() >= plan.buckets else _bucket(plan, table, False)
+        return pa.concat_tables([rest.cast(ROWS), pa.Table.from_pylist(rows, ROWS)])
+
+    def again(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(_bucket(shared.value, table, True), ROWS)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _emit_places(shared.value, batches)
+
+    texts = whole.select(F.monotonically_increasing_id().alias("row"), "doc_id", (fold(F.col("doc_id")) != held_out_fold).alias("train"), "text")
+    done = cut(texts.mapInArrow(emit, ROWS_SQL).groupBy("p").applyInArrow(dealt, ROWS_SQL))
+    _release(spark)
+    if hot:
+        done = done.where(F.col("kind") != PLACES).unionByName(cut(done.where(F.col("kind") == PLACES).groupBy("p").applyInArrow(again, ROWS_SQL)))
+        _release(spark)
+
+    known = vocabulary.where(F.col("n") < rare_below)
+    named = known.select((-F.shiftrightunsigned(F.xxhash64("word"), 1) - 1).alias("key"), "n")
+    unigram = (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(bottom))
+
+    def asked(kind: int) -> DataFrame:
+        return done.where(F.col("kind") == kind).select("g", "body").mapInArrow(_asked, "g long, i long, key long, times long")
+
+    contexts = done.where(F.col("kind") == CONTEXT)
+    others = contexts.select("g", F.explode("keys").alias("key")).join(named, "key").select("g", F.lit(0.0).alias("mass"), unigram.alias("covered"))
+    taken = contexts.select("g", "mass", "covered").unionByName(others).groupBy(F.col("g").alias("key")).agg(F.sum("mass").alias("mass"), F.sum("covered").alias("covered"))
+    least = F.lit(1e-9)
+    backoffs = taken.select("key", F.log10(F.greatest(1 - F.col("mass"), least) / F.greatest(1 - F.col("covered"), least)).alias("cost"))
+    costs = (
+        done.where(F.col("kind") == SUMS).select("g", "body").groupBy("g").applyInArrow(_sums, "g long, i long, cost double")
+        .unionByName(asked(BACKOFF).join(backoffs, "key").select("g", "i", "cost"))
+        .unionByName(asked(UNIGRAM).join(named, "key", "left").select("g", "i", F.log10(unigram).alias("cost")))
+        .groupBy("g", "i").agg(F.sum("cost").alias("score"))
+    )
+    terms = asked(RARE).join(named, "key", "left")
+    per_text = terms.groupBy("g", "i").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(unigram)).alias("term"))
+    out = done.where(F.col("kind") == TEXT).select("g", "i", "doc_id", "n_tokens", "n_head", "head_base").join(costs, ["g", "i"]).join(per_text, ["g", "i"], "left")
     return out.select(
         "doc_id",
         (fold(F.col("doc_id")) == held_out_fold).alias("held_out"),
         "n_tokens",
         (F.col("n_head") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + term).alias("base_score"),
-        (F.col("head_score") + term).alias("score"),
+        (F.col("head_base") + F.coalesce("term", F.lit(0.0))).alias("base_score"),
+        "score",
     )

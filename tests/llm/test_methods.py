@@ -228,6 +228,42 @@ def test_automaton_is_a_distribution():
         assert near(sum(10 ** (ngram.walk(a, [*context, w]) - before) for w in (1, 2, 3)), 1.0)
 
 
+def _whole_automaton(texts, order):
+    """All n-grams of the texts in one automaton, and its walk."""
+    lists = [ngram.tokens(t.encode()) for t in texts]
+    counts = Counter(w for t in lists for w in t)
+    numbers = {w: i + 1 for i, w in enumerate(sorted(counts))}
+    word_counts = np.array([0, *(counts[w] for w in sorted(counts))])
+    total, size = int(word_counts.sum()), len(word_counts)
+    base = np.log10((word_counts + 0.5) / (total + 0.5 * size))
+    codes, occurs, place = [], [], {(i,): i for i in range(1, size)}
+    for n in range(2, order + 1):
+        grams = Counter(tuple(numbers[w] for w in t[i : i + n]) for t in lists for i in range(len(t) - n + 1))
+        rows = sorted((place[g[:-1]] * size + g[-1], c, g) for g, c in grams.items())
+        codes.append(np.array([r[0] for r in rows], dtype=np.int64))
+        occurs.append(np.array([r[1] for r in rows], dtype=np.int64))
+        place = {r[2]: i + 1 for i, r in enumerate(rows)}
+    a = ngram.build(numbers, word_counts, base, codes, occurs, total)
+
+    def cost(text):
+        ids = [numbers.get(w, 0) for w in ngram.tokens(text.encode())]
+        return ngram.walk(a, ids) + ids.count(0) * float(base[0])
+
+    return cost
+
+
+def test_lm_keeps_every_ngram(spark):
+    rng = random.Random(15)
+    vocabulary = [f"w{int(rng.expovariate(0.05))}" for _ in range(120)]
+    rows = [(i, " ".join(rng.choice(vocabulary) if rng.random() < 0.97 else f"own{rng.randrange(60)}" for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    rows += [(1000 + i, " ".join(["a", "b"] * 20)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for order, capacity, head in ((3, 1_500_000, 5e-7), (3, 60, 0.004), (4, 100, 5e-7), (2, 60, 5e-7)):
+        cost = _whole_automaton([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], order)
+        got = {r["doc_id"]: r["score"] for r in ngram.score(docs, order=order, capacity=capacity, head=head).collect()}
+        assert len(got) == len(rows) and all(near(got[i], cost(t)) for i, t in rows), (order, capacity)
+
+
 def test_lm_beats_base_on_held_out(spark):
     rng = random.Random(12)
     follow = {w: [f"v{rng.randrange(30)}" for _ in range(3)] for w in (f"v{i}" for i in range(30))}
