@@ -35,10 +35,10 @@ COMMON = (
 ).split()
 MASKED = "[SECRET]"
 
-_ASSIGNED = re.compile(r"(?:" + "|".join(re.escape(x) for x in TELLING) + r")\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;(){}]{6,200})", re.IGNORECASE)
+_ASSIGNED = re.compile(r"(?:" + "|".join(re.escape(x) for x in TELLING) + r")\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;(){}]{6,})", re.IGNORECASE)
 _RUN = re.compile(r"[A-Za-z0-9+/_\-.]{16,}={0,2}")
 _LONG_WORD = re.compile(r"\S{16,}")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,8000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
 _PREFIX = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_\w{20,}$|xox[abprs]-|sk-[A-Za-z0-9]|eyJ[A-Za-z0-9_\-]+\.|AIza[\w\-]{30,}$|glpat-")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _PLACEHOLDER = re.compile(r"(?i)(?:x{4,}|\*{3,}|\.{3,}|changeme|example|placeholder|your[_\-]|dummy|sample|test|null|none|true|false|undefined|\$\{|%s|password|secret)")

@@ -327,6 +327,17 @@ def test_redaction(spark):
     assert out[2] == ("nothing", 7)
 
 
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(21)
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(n))
+    jwt, block = f"eyJ{mixed(60)}.{mixed(900)}.{mixed(43)}", f"-----BEGIN RSA PRIVATE KEY-----\n{mixed(12000)}\n-----END RSA PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"token = {jwt} end", 1), (2, f"see {block} end", 1)], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert out == {1: "token = [SECRET] end", 2: "see [SECRET] end"}
+    found = {r["doc_id"]: (r["start"], r["end"], r["value_sha256"]) for r in secrets.findings(docs).collect()}
+    assert found == {1: (8, 8 + len(jwt), hashlib.sha256(jwt.encode()).hexdigest()), 2: (4, 4 + len(block), hashlib.sha256(block.encode()).hexdigest())}
+
+
 def test_blocked_viterbi_is_whole_viterbi(spark):
     rng = random.Random(3)
     talk = [(1, i, ("user", "assistant")[i % 2], "\n".join(f"line {rng.random()}" + "?" * rng.randint(0, 1) for _ in range(rng.randint(1, 3)))) for i in range(200)]
