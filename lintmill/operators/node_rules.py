@@ -92,7 +92,7 @@ _TABLE: list[tuple] = [
     ("no-with", "suspicious", "Unexpected use of 'with' statement.", "WithStatement"),
     ("radix", "suspicious", "Missing radix parameter.", 'CallExpression[callee.name="parseInt"][arguments.length="1"], CallExpression[callee.object.name="Number"][callee.property.name="parseInt"][arguments.length="1"]'),
     # style
-    ("arrow-parens", "style", "Expected parentheses around arrow function argument.", 'ArrowFunctionExpression[params.length="1"][params.0.type="Identifier"][text=/^(?:async )?[^( ]+ =>/]'),
+    ("arrow-parens", "style", "Expected parentheses around arrow function argument.", 'ArrowFunctionExpression[params.length="1"][params.0.type="Identifier"][head=/^(?:async )?[^( ]+ =>/]'),
     ("arrow-body-style", "style", "Unexpected block statement surrounding arrow body.", 'ArrowFunctionExpression[body.type="BlockStatement"][body.body.length="1"][body.body.0.type="ReturnStatement"]'),
     ("avoid-new", "style", "Avoid creating new promises.", 'NewExpression[callee.name="Promise"]'),
     ("camelcase", "style", "Identifier '{{name}}' is not in camel case.", "Identifier[name=/^_*[^_]+_+[^_]/]", "upper(attrs['name']) <> attrs['name'] and slot in ('id','params','local','left','param') and parent_type not like 'TS%'"),

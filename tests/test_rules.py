@@ -110,6 +110,20 @@ def test_selectors(spark):
             parse_selector(bad)
 
 
+def test_long_texts_are_whole(spark):
+    long = "a" * 100 + "." + "b" * 100
+    word = "w" * 2500
+    cases = {
+        "no-self-compare": f"{long} === {long}", "no-self-assign": f"{long} = {long}", "no-duplicate-case": f"switch (x) {{ case {long}: case {long}: }}", "arrow-parens": f"f = a => {{ g('{word}') }}", "no-duplicate-type-constituents": f"type A = {long} | {long}",
+        "no-useless-rename": f"import {{ {'c' * 170} as {'c' * 170} }} from 'd'", "no-script-url": f"x = 'javascript:{word}'", "no-template-curly-in-string": f"x = '{word}${{a}}'", "no-import-type-side-effects": f"import {{ type {'T' * 170} }} from 'd'",
+    }
+    sources = in_memory(spark, {f"{n}.ts": s for n, s in cases.items()})
+    found = {(r["path"], r["rule"]) for r in lint.lint(sources, {"preset": False, "rules": dict.fromkeys(cases, 2)}).collect()}
+    assert {(f"{n}.ts", n) for n in cases} <= found
+    fixed = lint.fix(in_memory(spark, {"a.js": f"x = {long}['y']"}), {"preset": False, "rules": {"dot-notation": 2}}).collect()
+    assert [r["source"].replace(" ", "") for r in fixed] == [f"x={long}.y"]
+
+
 def test_directive_order(spark):
     comments = spark.createDataFrame([("a", "Block", " eslint-disable x, p/y ", 0, 1, 1), ("a", "Block", "eslint-enable x", 50, 5, 5), ("a", "Line", " lintmill-disable-next-line", 80, 8, 8)], "path string, kind string, text string, start int, line int, end_line int")
     found = spark.createDataFrame([("a", "x", 3), ("a", "y", 3), ("a", "z", 3), ("a", "x", 6), ("a", "y", 6), ("a", "z", 9), ("b", "x", 3)], "path string, rule string, line int")
