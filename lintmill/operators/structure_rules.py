@@ -136,7 +136,8 @@ def scope_ancestors(scopes: DataFrame) -> DataFrame:
     """(path, scope_id, above): every strict ancestor of each scope, by doubling the parent join."""
     step = scopes.where("parent_scope is not null").select("path", "scope_id", F.col("parent_scope").alias("above"))
     closure = step
-    for _ in range(5):  # paths of up to 32 scopes
+    deepest = scopes.agg(F.max("depth")).first()[0] or 0
+    for _ in range(int(deepest).bit_length()):  # each round doubles the paths
         onward = closure.select("path", F.col("scope_id").alias("above"), F.col("above").alias("next"))
         closure = closure.unionByName(closure.join(onward, ["path", "above"]).select("path", "scope_id", F.col("next").alias("above"))).distinct()
     return closure

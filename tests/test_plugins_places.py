@@ -4,6 +4,7 @@ import pytest
 from lintmill.operators import places
 from lintmill.operators.node_rules import RULES, run_node_rules
 from lintmill.operators.plugins import json_rule, register, run_visitor
+from lintmill.operators.structure_rules import scope_ancestors
 from lintmill.plans.parsed import parse_files
 from lintmill.sources.files import in_memory
 
@@ -39,6 +40,12 @@ def test_visitors(spark):
     assert {r["message"] for r in run_visitor(files, "broken", broken).collect()} == {"rule failed: division by zero"}
 
 
+def test_scopes_of_any_depth(spark):
+    rows = [("p", i, i - 1 if i else None, i) for i in range(71)]
+    found = scope_ancestors(spark.createDataFrame(rows, "path string, scope_id int, parent_scope int, depth int"))
+    assert sorted((r["scope_id"], r["above"]) for r in found.collect()) == [(i, j) for i in range(71) for j in range(i)]
+
+
 def test_places(spark):
     t = parse_files(in_memory(spark, {"a.js": "let a = 1; /* in */ { /* here */ let b = a; let a = 2 }"}))
     offsets = spark.createDataFrame([("a.js", 0), ("a.js", 5), ("a.js", 9)], "path string, offset int")
