@@ -1,14 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A document overlaps an item if, somewhere on one alignment without gaps, ``window`` consecutive
-words (or the whole item, if it is shorter) agree in at least ``agreement`` of their places; items
-under ``least`` words are not looked for. Words are lower-cased in A-Z.
+words (or the whole item, if it is shorter) agree in at least ``agreement`` of their places; of items under five
+words all places must agree. Words are lower-cased in A-Z.
 
 Fixed masks choose some word places out of a short span and ignore the others. Benchmark and
 document hashes of the chosen words are joined; each hit names an alignment, which is verified
 around the hit. The masks below find every alignment of ten words with at most two substitutions, which any
 accepted window of ten or more words contains; items of five to nine words get a mask for each
-place that may differ. So the search loses nothing that the definition accepts.
+place that may differ, shorter ones their own words. Bounds that the masks do not cover are refused. So the search loses nothing that the definition accepts.
 
 The benchmark is read in blocks of at most ``block_words`` words, each broadcast as one bounded
 table and held against all documents, so a benchmark of any size works. Null and empty texts
@@ -52,6 +52,8 @@ class Seeds:
 def _masks_for(n: int) -> list[str]:
     if n >= 10:
         return list(MASKS)
+    if n < 5:
+        return ["1" * n]
     return ["1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1)] + ["0" + "1" * (n - 1), "1" * (n - 1) + "0"]
 
 
@@ -63,7 +65,17 @@ def _hash_at(ids: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def build_seeds(rows: list[tuple[int, str | None]], *, window: int = 13, agreement: float = 0.8, least: int = 5) -> Seeds:
+def check_bounds(window: int, agreement: float) -> None:
+    """Raises where the masks could miss an alignment that ``window`` and ``agreement`` accept."""
+    for n in range(1, window + 1):
+        differ = n - int(np.ceil(agreement * n - 1e-9))
+        # ten words in a row with at most two that differ; a place for each of shorter items; none below five
+        if differ > (0 if n < 5 else 1 if n < 10 else 3 * (n // 10) - 1):
+            raise ValueError(f"the masks don't cover {differ} words that differ among {n}; raise agreement")
+
+
+def build_seeds(rows: list[tuple[int, str | None]], *, window: int = 13, agreement: float = 0.8, least: int = 1) -> Seeds:
+    check_bounds(window, agreement)
     vocabulary: dict[bytes, int] = {}
     items = []
     for item_id, text in rows:
@@ -170,8 +182,11 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int,
         yield block
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agreement: float = 0.8, least: int = 5, block_words: int = 1_000_000) -> DataFrame:
-    """Per document and benchmark item that overlap: doc_id, item_id, doc_word, item_word, compared, agreeing."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agreement: float = 0.8, least: int = 1, block_words: int = 1_000_000) -> DataFrame:
+    """Per document and benchmark item that overlap: doc_id, item_id, doc_word, item_word, compared, agreeing.
+
+    Items of one to four words are found where they stand whole (``compared`` tells them); repeated rows give repeated results.
+    """
     schema = "doc_id long, item_id long, doc_word long, item_word long, compared long, agreeing long"
     out = None
     for block in _blocks(benchmark, block_words):
@@ -190,11 +205,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, agreeme
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, block_words: int = 1_000_000, **options) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item; columns unchanged, nothing shuffled."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, block_words: int = 1_000_000, least: int = 5, **options) -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item of ``least`` words or more; columns unchanged, nothing shuffled.
+
+    A word or two say nothing about where a document comes from, so shorter items remove nothing unless ``least`` is lowered.
+    """
     out = docs
     for block in _blocks(benchmark, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(build_seeds(block, **options))
+        shared = docs.sparkSession.sparkContext.broadcast(build_seeds(block, least=least, **options))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -26,16 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lintmill.llm.common import cut, pieces, shared_path, utf8
+from lintmill.llm.markup import walk
 
 WIDTH = 192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
+ITEM = "position int, kind string, text string, digest string, caption string"
 FIGURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([A-Za-z\-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 _DIGEST = re.compile(r"media:([0-9a-f]{64})$")
 _BREAKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "figure", "blockquote", "td", "th", "tr", "ul", "ol", "table", "br"}
 
@@ -93,8 +93,7 @@ def parse_sequence(page: str | None) -> list[dict]:
     """Ordered items of a page: {position, kind: text or media, text, digest, caption}."""
     items: list[dict] = []
     parts: list[str] = []
-    at, figure, captioning = 0, None, False
-    page = page or ""
+    figure, captioning = None, False
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -103,47 +102,39 @@ def parse_sequence(page: str | None) -> list[dict]:
             return
         if captioning and figure is not None and figure < len(items):
             for item in items[figure:]:
-                item["caption"] = f"{item['caption']} {text}".strip()
+                item["caption"] = f"{item['caption'] or ''} {text}".strip()
         else:
             items.append({"position": len(items), "kind": "text", "text": text, "digest": None, "caption": None})
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        parts.append(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
-        if tag in ("script", "style") and not m.group(1):
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag in ("img", "audio", "video", "source"):
-            values = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m.group(3))}
-            digest = _DIGEST.match(values.get("src", ""))
-            if digest:
+    for kind, value, attributes, _ in walk(page or ""):
+        if kind == "text":
+            parts.append(value)
+        elif value in ("img", "audio", "video", "source"):
+            if kind == "open" and (digest := _DIGEST.match(attributes.get("src", ""))):
                 close()
-                items.append({"position": len(items), "kind": "media", "text": None, "digest": digest.group(1), "caption": " ".join(values.get("alt", "").split())})
-        elif tag == "figcaption":
+                items.append({"position": len(items), "kind": "media", "text": None, "digest": digest.group(1), "caption": " ".join(attributes.get("alt", "").split())})
+        elif value == "figcaption":
             close()
-            captioning = not m.group(1)
-        elif tag in _BREAKS:
+            captioning = kind == "open"
+        elif value in _BREAKS:
             close()
-            if tag == "figure":
-                figure = None if m.group(1) else len(items)
-    parts.append(page[at:])
+            if value == "figure":
+                figure = None if kind == "close" else len(items)
     close()
     return items
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """``pages(page, html, ...)`` with ``items`` in the place of ``html``; other columns pass through."""
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-    for batch in batches:
-        for piece in pieces(batch, "html"):
-            yield pa.RecordBatch.from_arrays([piece.column("page"), pa.array([parse_sequence(x) for x in piece.column("html").to_pylist()], kind)], ["page", "items"])
+    others = [c for c in pages.columns if c != "html"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "html"):
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), pa.array([parse_sequence(x) for x in piece.column("html").to_pylist()], kind)], [*others, "items"])
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page, items) for each row of ``pages(page, html)``."""
-    return pages.select(F.col("page").cast("long"), F.col("html").cast("string")).mapInArrow(_parse, f"page long, items array<{ITEM}>")
+    return pages.mapInArrow(run, StructType([*(f for f in pages.schema.fields if f.name != "html"), StructField("items", ArrayType(StructType.fromDDL(ITEM)))]))
 
 
 def read_store(store: DataFrame) -> DataFrame:
@@ -164,29 +155,26 @@ def read_store(store: DataFrame) -> DataFrame:
     return store.mapInArrow(run, FIGURES).dropDuplicates(["digest"])
 
 
-def resolve(items: DataFrame, figures: DataFrame) -> DataFrame:
-    """``items(..., item)`` with the figures of each media item's payload, null where there is none.
-
-    Both sides are plain exchanges on the digest, so a payload that many references share is split at run time.
-    """
-    known = figures.withColumnRenamed("digest", "stored_digest")
-    return items.join(known, F.col("item.digest") == F.col("stored_digest"), "left")
-
-
 def sequences(pages: DataFrame, figures: DataFrame) -> DataFrame:
-    """(page, sequence): the items of each page in order, media items with their payload's figures.
+    """``pages(page, html, ...)`` with ``sequence`` in the place of ``html``: the page's items in order, media items with their payload's figures.
 
-    A page's items meet again in one row, as they were in its html.
+    A page's items meet again in one row, as they were in its html. Items are dealt by digest, and those without one by their page,
+    so neither texts nor a payload that many pages refer to gather in one task (the latter is split at run time).
     """
     parsed = cut(parse_pages(pages).withColumn("row", F.monotonically_increasing_id()))
-    joined = resolve(parsed.select("page", "row", F.explode_outer("items").alias("item")), figures)
-    names = ["payload_bytes", "payload_sha256", "media_bytes", "feature"]
+    others = [c for c in parsed.columns if c != "items"]
+    items = parsed.select(*others, F.explode_outer("items").alias("item"))
+    key = F.coalesce("item.digest", F.concat(F.lit("-"), F.col("row").cast("string")))
+    known = figures.withColumnRenamed("digest", "stored_digest")
+    joined = items.join(known, key == F.col("stored_digest"), "left")
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
     entry = F.struct(*[F.col(f"item.{c}").alias(c) for c in ("position", "kind", "text", "digest", "caption")], *names)
-    return joined.groupBy("row", "page").agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), entry))).alias("sequence")).select("page", "sequence")
+    whole = joined.groupBy(*others).agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), entry))).alias("sequence"))
+    return whole.select(*[c for c in others if c != "row"], "sequence")
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page that refers to the text's payload, and the payload's media where this task has not given it yet."""
+    """A page that names the document and refers to its text's payload, and the payload's media where this task has not given it yet."""
     given: set[str] = set()
     for batch in batches:
         for piece in pieces(batch, "text"):
@@ -196,28 +184,30 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = hashlib.sha256(media).hexdigest()
                 if len(given) > 500_000:
                     given.clear()
-                page = f'<figure><img src="media:{digest}" alt="text as grey samples"><figcaption>{len(text)}</figcaption></figure>'
-                out.append((doc_id, page, digest, None if digest in given else media))
+                page = f'<h1>Document {doc_id}</h1><figure><img src="media:{digest}" alt="grey samples"><figcaption>its text</figcaption></figure>'
+                out.append((doc_id, len(text), page, digest, None if digest in given else media))
                 given.add(digest)
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], ["page", "html", "digest", "media"])
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page", "n_bytes", "html", "digest", "media"])
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: its payload's figures, found by way of store, page and digest join."""
+    """Per row of ``docs(doc_id, text)``: its payload's figures and ``sequence``, found by way of store, page and digest join.
+
+    The media of a sequence stands after the heading that names the document. Repeated rows give repeated results.
+    """
     path = shared_path(docs.sparkSession, "media")
-    docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_store, "page long, html string, digest string, media binary").write.parquet(path)
+    docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_store, "page long, n_bytes long, html string, digest string, media binary").write.parquet(path)
     stored = docs.sparkSession.read.parquet(path)
     figures = cut(read_store(stored.where("media is not null").select("digest", "media")))
-    items = parse_pages(stored.select("page", "html")).select("page", F.explode("items").alias("item")).where("item.kind = 'media'")
-    return resolve(items, figures).select(
+    media = F.filter("sequence", lambda x: x["kind"] == "media")[0]
+    whole = sequences(stored.select("page", "n_bytes", "html"), figures).withColumn("media", media)
+    return whole.select(
         F.col("page").alias("doc_id"),
-        F.col("item.caption").alias("caption"),
-        F.regexp_extract("item.caption", r"(\d+)$", 1).cast("long").alias("n_bytes"),
-        "payload_bytes",
-        "payload_sha256",
-        "tail_crc32",
-        "media_bytes",
-        F.col("item.digest").alias("media_sha256"),
-        "feature",
+        "n_bytes",
+        *[F.col(f"media.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes")],
+        F.col("media.digest").alias("media_sha256"),
+        "media.feature",
+        "sequence",
     )

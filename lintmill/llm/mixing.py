@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import WORD_PATTERN, cut
+from lintmill.llm.common import WORD_PATTERN, cut, fresh
 
 #: Sub-groups of the documents of one source and size, so that a hot group is spread over tasks.
 SALTS = 256
+#: Distinct sizes folded into one array at a time.
+CHUNK = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -61,17 +63,25 @@ def _quotas(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """
     groups = sized.where("size > 0").groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     sizes = groups.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    per_source = sizes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    ranked = sizes.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy("source").orderBy(F.desc("size"))) - 1) / CHUNK))
+    chunks = ranked.groupBy("source", "chunk").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    per_source = chunks.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "sizes"))), lambda c: c["sizes"]).alias("sizes"))
     fraction = F.col("target") / F.col("source_size") - F.floor(F.col("target") / F.col("source_size"))
     per_source = per_source.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).select("source", "sizes", fraction.alias("fraction"))
-    zero = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<bigint>").alias("picks"))
+    none = F.array().cast("array<bigint>")
 
     def step(acc: Column, x: Column) -> Column:
         owed = acc["owed"] + F.col("fraction") * x["size"] * x["n"]
         pick = F.greatest(F.lit(0).cast("bigint"), F.least(x["n"], F.round(owed / x["size"]).cast("bigint")))
         return F.struct((owed - (pick * x["size"]).cast("double")).alias("owed"), F.array_append(acc["picks"], pick).alias("picks"))
 
-    picks = per_source.withColumn("picks", F.aggregate("sizes", zero, step)["picks"])
+    def chunk_step(acc: Column, chunk: Column) -> Column:
+        # arrays grow within a chunk and by whole chunks, so appending stays cheap however many sizes there are
+        done = F.aggregate(chunk, F.struct(acc["owed"].alias("owed"), none.alias("picks")), step)
+        return F.struct(done["owed"].alias("owed"), F.array_append(acc["picks"], done["picks"]).alias("picks"))
+
+    zero = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<array<bigint>>").alias("picks"))
+    picks = per_source.withColumn("picks", F.flatten(F.aggregate("sizes", zero, chunk_step)["picks"])).withColumn("sizes", F.flatten("sizes"))
     picked = picks.select("source", F.explode(F.arrays_zip("sizes", "picks")).alias("z")).select("source", F.col("z.sizes.size").alias("size"), F.col("z.sizes.n").alias("of"), F.col("z.picks").alias("pick"))
     within = W.partitionBy("source", "size").orderBy("salt")
     upto = F.sum("n").over(within)
@@ -107,15 +117,16 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each row of ``docs`` as often as the mix takes it.
 
     Documents without words weigh nothing and stay once. Rows that share id, source and size are
-    told apart by a running number on both sides, so none is multiplied twice.
+    told apart by a running number on both sides, so none is multiplied twice. The number of a repetition is in ``copy``, with
+    underscores after it where ``docs`` has such a column; other columns pass through, whatever their names.
     """
     keys = ["doc_id", "source", "size"]
     chosen = mix(docs, **options).select(*keys, "repeats").withColumn("twin", F.row_number().over(W.partitionBy(*keys).orderBy("repeats")))
     chosen = chosen.select(*[F.col(c).alias(f"k_{c}") for c in [*keys, "twin"]], "repeats")
-    out = docs.columns
-    left = docs.select(*out, word_count(F.col("text")).alias("mix_size"))
-    left = left.withColumn("mix_twin", F.row_number().over(W.partitionBy("doc_id", "source", "mix_size").orderBy(F.xxhash64("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("mix_size") == F.col("k_size")) & (F.col("mix_twin") == F.col("k_twin"))
-    repeats = F.when(F.col("mix_size") == 0, F.lit(1)).otherwise(F.col("repeats"))
-    joined = left.join(chosen, on).where(repeats > 0)
-    return joined.select(*out, F.explode(F.sequence(F.lit(1), repeats)).alias("copy"))
+    # the row itself travels as one struct, so no name in it can clash
+    left = docs.select(F.struct("*").alias("row")).withColumn("mix_size", word_count(F.col("row.text")))
+    left = left.withColumn("mix_twin", F.row_number().over(W.partitionBy("row.doc_id", "row.source", "mix_size").orderBy(F.xxhash64("row.text"))))
+    on = F.col("row.doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("row.source").eqNullSafe(F.col("k_source")) & (F.col("mix_size") == F.col("k_size")) & (F.col("mix_twin") == F.col("k_twin"))
+    times = F.when(F.col("mix_size") == 0, F.lit(1)).otherwise(F.col("repeats"))
+    joined = left.join(chosen, on).where(times > 0)
+    return joined.select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("row.*", F.col("copy").alias(fresh(docs, "copy")))

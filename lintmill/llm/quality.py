@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lintmill.llm.common import cut, fold, pieces, utf8
+from lintmill.llm.common import cut, fold, fresh, pieces, utf8
 
 TRIGRAM_BITS = 11
 STYLES = 12
 #: Documents handled at once, so that their dense trigram counts stay small.
 ROWS = 400
+#: Bytes of a text counted at once.
+WINDOW = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -45,8 +47,10 @@ class Model:
 
 
 def _trigrams(texts: list[bytes]) -> np.ndarray:
-    """Counts of hashed byte trigrams, one row a text."""
+    """Counts of hashed byte trigrams, one row a text; long texts are counted in windows that overlap by two bytes."""
     size = 1 << TRIGRAM_BITS
+    if any(len(t) > WINDOW for t in texts):
+        return np.vstack([sum(_trigrams([t[a : a + WINDOW + 2]]) for a in range(0, max(1, len(t) - 2), WINDOW)) if len(t) > WINDOW else _trigrams([t]) for t in texts])
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts) + b"\0\0", dtype=np.uint8).astype(np.uint32)
     code = data[:-2] | (data[1:-1] << np.uint32(8)) | (data[2:] << np.uint32(16))
@@ -159,7 +163,13 @@ def vote(model: Model, texts: list[bytes]) -> np.ndarray:
     vectors = _unit(_weighted(*_features(texts), model.idf) @ model.basis).astype(np.float32)
     similar = vectors @ model.vectors.T
     k = min(model.neighbours, similar.shape[1])
-    near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
+    if len(similar) and k < similar.shape[1]:
+        # labelled texts as near as the k-th all stand on one side of the line: the first in the order of label and features
+        kth = -np.partition(-similar, k - 1, axis=1)[:, k - 1 : k]
+        rank = np.where(similar > kth, 2.0, np.where(similar == kth, 1.0, 0.0)) * similar.shape[1] - np.arange(similar.shape[1]) / similar.shape[1]
+        near = np.argpartition(-rank, k - 1, axis=1)[:, :k]
+    else:
+        near = np.broadcast_to(np.arange(k), (len(similar), k))
     weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** model.sharpness * model.weights[near]
     total = weight.sum(axis=1)
     return np.where(total > 0, (weight * model.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), model.prior)
@@ -191,4 +201,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **op
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``; columns unchanged."""
     model = fit(docs, labels, **options)
-    return score(docs, model, "quality_score_").where(F.col("quality_score_") >= threshold).select(*docs.columns)
+    own = fresh(docs, "quality_score")
+    return score(docs, model, own).where(F.col(own) >= threshold).drop(own)

@@ -35,7 +35,7 @@ COMMON = (
 ).split()
 MASKED = "[SECRET]"
 
-_ASSIGNED = re.compile(r"(?:" + "|".join(re.escape(x) for x in TELLING) + r")\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;(){}]{6,})", re.IGNORECASE)
+_ASSIGNED = re.compile(r"(?:" + "|".join(re.escape(x) for x in TELLING) + r")\w{0,20}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?([^\s\"'`<>,;(){}]{4,})", re.IGNORECASE)
 _RUN = re.compile(r"[A-Za-z0-9+/_\-.]{16,}={0,2}")
 _LONG_WORD = re.compile(r"\S{16,}")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
@@ -145,6 +145,8 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, int, int,
         lambda: (name() + joint(), mixed(rng.randint(8, 44), "+/")),
         lambda: (rng.choice(("Authorization: Bearer ", "bearer token ")), "eyJ" + mixed(30) + "." + mixed(60) + "." + mixed(40, "_-")),
         lambda: (name() + joint(), syllables(2) + digits(rng.randint(2, 4)) + rng.choice("!@#%")),
+        lambda: (rng.choice(TELLING[:4]) + joint(), (syllables(rng.randint(1, 3)) + digits(rng.randint(1, 3)))[:12]),
+        lambda: (rng.choice(TELLING[:4]) + joint(), mixed(rng.randint(4, 8), "!@#")),
         lambda: ("", "-----BEGIN RSA PRIVATE KEY-----\n" + mixed(200, "+/") + "\n-----END RSA PRIVATE KEY-----"),
     ]
     harmless = [
@@ -158,7 +160,8 @@ def labelled_findings(n: int = 2400, seed: int = 5) -> list[tuple[str, int, int,
         lambda: ("", "_".join((word(), word(), word(), digits(2), "value"))),
         lambda: ("", syllables(6).capitalize() + rng.choice(("-", ".", "")) + syllables(4) + digits(1)),
         lambda: (name() + joint(), rng.choice(("changeme", "example", "your_token_here", "xxxxxxxxxxxx", "<password>", "placeholder", "undefined", "${SECRET_TOKEN}", "********"))),
-        lambda: (name() + ": ", syllables(rng.randint(3, 6))),
+        lambda: (name() + ": ", syllables(rng.randint(2, 6))),
+        lambda: (name() + joint(), word()),
         lambda: ("", syllables(3) + "." + digits(2) + "@mail" + digits(1) + ".example.com"),
         lambda: ("version ", ".".join(digits(rng.randint(1, 4)) for _ in range(7)) + "-release"),
         lambda: ("tracking ", digits(9) + upper(4) + digits(9)),
@@ -225,13 +228,18 @@ def redact(docs: DataFrame, *, threshold: float = 0.5, forest: list[Tree] | None
         for batch in batches:
             for piece in pieces(batch, "text"):
                 texts = piece.column("text").to_pylist()
-                changed = False
-                for k, a, b, _, _, secret in reversed(scan(shared.value, texts, threshold)):
-                    if secret:  # from the last to the first, so offsets hold
-                        texts[k] = texts[k][:a] + MASKED + texts[k][b:]
-                        changed = True
+                spans: dict[int, list[tuple[int, int]]] = {}
+                for k, a, b, _, _, secret in scan(shared.value, texts, threshold):
+                    if secret:
+                        spans.setdefault(k, []).append((a, b))
+                for k, own in spans.items():
+                    text, at, parts = texts[k], 0, []
+                    for a, b in own:
+                        parts += [text[at:a], MASKED]
+                        at = b
+                    texts[k] = "".join([*parts, text[at:]])
                 columns = list(piece.columns)
-                if changed:
+                if spans:
                     columns[place] = pa.array(texts, columns[place].type)
                 yield pa.RecordBatch.from_arrays(columns, piece.schema.names)
 

@@ -148,14 +148,3 @@ def near_duplicates(docs: DataFrame, hot: int = 64) -> DataFrame:
     # both sides are plain exchanges, so a fingerprint that a third of the rows share is split at run time
     out = prints.join(by_print, F.col("fp") == F.col("k"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_representatives(docs: DataFrame, hot: int = 64) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; columns unchanged.
-
-    Rows with a null id are kept: nothing names their group. Repeated rows of one id stay once.
-    """
-    classes = near_duplicates(docs, hot)
-    keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("keep_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id").cast("long") == F.col("keep_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))

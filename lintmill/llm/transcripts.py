@@ -11,6 +11,8 @@ between each pair of states before and after it; these small matrices are chaine
 block is then decoded between its two known states. So no task holds a conversation's texts, and
 the path is the one that decoding in one piece gives.
 
+A turn's content is its lines as they stand, less the marker that begins it where that names the role the path gives; nothing else is taken from the text.
+
 Null texts are one empty line. Rows with null turns come first, equal turns in order of text. Null conversation ids
 are one conversation. Without labelled rows the counts are the smoothing alone and markers decide.
 """
@@ -43,26 +45,35 @@ SIZES = (6, 2, 4, 2, 3)
 STATES = 2 * len(ROLES)  # 2 * role begins a turn of it, 2 * role + 1 goes on with it
 
 _ROLE_OF = {n: i for i, names in enumerate(NAMES.values()) for n in names}
-_MARKER = re.compile(r"\s*(?:#{1,4}\s*|\*{1,2}|<\|?|\[)?\s*([A-Za-z_]{1,12})\s*(?:\*{1,2}|\|?>|\])?\s*(:|\*{1,2}:?|\|?>|\]:?|$)\s*")
+#: A marker at the start of a line: emphasised, a heading of its own, in brackets, or a plain name and colon. What follows it is the text, untouched.
+_MARKER = re.compile(
+    r"(?:\*{1,2}(?P<strong>[A-Za-z_]{1,12})(?::\*{1,2}|\*{1,2}:?)|#{1,4}[ \t]*(?P<heading>[A-Za-z_]{1,12}):?[ \t]*$|\[(?P<square>[A-Za-z_]{1,12})\]:?|<\|?(?P<angle>[A-Za-z_]{1,12})\|?>|(?P<plain>[A-Za-z_]{1,12})[ \t]?:)[ \t]?"
+)
 _BARE = re.compile(r"\s*(?:[-–—>•]{1,2}|\[\d+\])\s+")
 
 
+def _marker(line: str) -> tuple[int | None, int]:
+    """(role that a marker at the start of the line names, where the text goes on)."""
+    m = _MARKER.match(line)
+    role = _ROLE_OF.get(m.group(m.lastgroup).lower()) if m else None
+    return (None, 0) if role is None else (role, m.end())
+
+
 def observe(line: str, opens: bool) -> tuple[int, int, int, int, int]:
     """What is seen of one line; the marker is 1 + a role, 5 for a bare mark, 0 for none."""
-    m = _MARKER.match(line)
-    role = _ROLE_OF.get(m.group(1).lower()) if m and (m.group(2) or line.lstrip().startswith("#")) else None
+    role, _ = _marker(line)
     marker = 1 + role if role is not None else 5 if _BARE.match(line) else 0
     n = len(line)
     shape = 1 if line.startswith(("    ", "\t", "```")) else 2 if re.match(r"\s*(?:\d+[.)]|\*)\s", line) else 0
     return marker, int(opens), 0 if n < 40 else 1 if n < 160 else 2 if n < 600 else 3, int(line.rstrip().endswith("?")), shape
 
 
-def without_marker(line: str) -> str:
-    m = _MARKER.match(line)
-    if m and m.group(1).lower() in _ROLE_OF and (m.group(2) or line.lstrip().startswith("#")):
-        return line[m.end() :]
-    m = _BARE.match(line)
-    return line[m.end() :] if m else line
+def without_marker(line: str, role: int) -> str | None:
+    """The line without a marker of this role; None for a heading that was nothing else. Dashes, numbers and other roles' names are text."""
+    said, end = _marker(line)
+    if said != role:
+        return line
+    return None if line.startswith("#") else line[end:]
 
 
 @dataclass(frozen=True)
@@ -208,16 +219,15 @@ def _decoded(shared) -> Callable:
             for (k, line), state in zip(lines, path.tolist(), strict=True):
                 begins = state % 2 == 0
                 if begins or last != k:
-                    out.append([k, state // 2, begins, [without_marker(line) if begins else line]])
+                    text = without_marker(line, state // 2) if begins else line
+                    out.append([k, state // 2, begins, [] if text is None else [text]])
                 else:
                     out[-1][3].append(line)
                 last = k
             parts: Counter = Counter()
             columns: list[list] = [[] for _ in range(7)]
             for k, role, begins, text in out:
-                content = "\n".join(text).strip("\n")
-                if begins:
-                    content = content.lstrip()
+                content = "\n".join(text)
                 head = f"<|{ROLES[role]}|>\n" if begins else ""
                 for column, value in zip(columns, (rows[k]["conv_id"], rows[k]["turn"], parts[k], ROLES[role], begins, content, f"{head}{content}\n<|end|>\n"), strict=True):
                     column.append(value)

@@ -1,7 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator."""
 
 import pytest
-from lintmill.llm import decontaminate, html_text, media, mixing, ngram, quality, secrets, simhash, substrings, transcripts
+from lintmill.llm import decontaminate, html_text, media, mixing, near_texts, ngram, quality, secrets, simhash, substrings, transcripts
 
 LONG = "word salad " * 30_000
 ROWS = [
@@ -16,6 +16,8 @@ ROWS = [
     (7, "tschüß – naïve façade 😀 <b>bold</b>", "de", "c", 36, 3, "q"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string"
+#: Names that the operators use within.
+CLASHES = "copy mix_size mix_twin repeats k_size k_source quality_score row_key kept high low group key node n target row_ taken".split()
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +57,7 @@ def test_simhash(docs, none):
     assert by_id[3]["fingerprint"] == by_id[4]["fingerprint"] == by_id[6]["fingerprint"] == "0" * 16
     assert by_id[6]["component_id"] == 3
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_representatives(docs)
+    kept = near_texts.keep_representatives(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 5, 7]
     assert kept.where("doc_id is null").count() == 1
@@ -127,3 +129,33 @@ def test_substrings(docs, none):
     assert by_id[5]["n_removed"] == len(LONG) and by_id[5]["n_spans"] == 1
     assert by_id[1]["n_removed"] == 0
     assert substrings.remove_repeats(none).count() == 0
+
+
+def test_stages_with_clashing_names(spark, docs, labels, benchmark):
+    from pyspark.sql import functions as F
+
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in CLASHES])
+    for out, extra in (
+        (quality.keep_good(wide, labels), []),
+        (near_texts.keep_representatives(wide), []),
+        (decontaminate.keep_clean(wide, benchmark), []),
+        (secrets.redact(wide), []),
+        (mixing.mix_rows(wide), ["copy_"]),
+    ):
+        assert out.columns == [*wide.columns, *extra]
+        assert all(r[c] == c for r in out.collect() for c in CLASHES)
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(1, "first text of this id is about boats and harbours"), (1, "second text speaks of mountains in winter snow"), (2, "first text of this id is about boats and harbours")]
+    kept = near_texts.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted(rows[:2])
+
+
+def test_short_benchmark_items(spark):
+    docs = spark.createDataFrame([(1, "he said too short and left the room"), (2, "nothing of that kind")], "doc_id long, text string")
+    bench = spark.createDataFrame([(4, "too short")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["compared"]) for r in decontaminate.overlaps(docs, bench).collect()] == [(1, 4, 2)]
+    assert decontaminate.keep_clean(docs, bench).count() == 2
+    with pytest.raises(ValueError):
+        decontaminate.overlaps(docs, bench, agreement=0.5).count()
