@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again before the next.
 
 1. quality: documents that score under 0.3 go.
-2. near_dedup: of each SimHash component the document with the smallest id stays.
+2. near_dedup: texts that share 0.8 of their five-word shingles are linked (candidates by Golay keys of SimHash fingerprints); of each
+   group the document with the smallest id stays.
 3. decontaminate: documents that overlap a benchmark item go.
 4. secrets: secrets in the text are masked; no document goes.
 5. mix: sources are brought to their target weights; the last stage adds ``copy``, the running number
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintmill.llm import decontaminate, mixing, quality, secrets, simhash
+from lintmill.llm import decontaminate, mixing, near_texts, quality, secrets
 from lintmill.llm.common import shared_path
 
 
@@ -23,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_representatives(docs)
+    return near_texts.keep_representatives(docs, shingle=5, similarity=0.8, radius=9)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
