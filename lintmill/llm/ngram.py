@@ -9,7 +9,8 @@ Counts cover all training rows, and every n-gram is kept (``floor`` above 0 keep
 No table of n-grams is gathered: each place in a text, its word and the words before it, is dealt by the word before,
 so all n-grams, contexts and suffixes that a place needs are in one bucket of about ``capacity`` places, where its
 cost is found and summed by text. Words that occur more than ``capacity`` times are dealt by the pair they
-begin, which gives pair counts, and then by the pair they end. Only one pair's places must meet in one task. Words with
+begin, which gives pair counts, and then by the pair they end. Only one pair's places must meet in one task. Buckets are dealt in ``turns``, each with a scan of the texts, so that no
+more than a share of all places is on disk at once. Words with
 a share of at least ``head`` have numbers in a broadcast table (at most 1 / head); others are named by 63 bits of
 their XXH64, and their unigrams are joined. ``build`` and ``walk`` are the same automaton in one memory.
 
@@ -239,7 +240,7 @@ def _flush(plan: Plan, g: int, texts: list[tuple]) -> list[dict]:
     start = at == 0 if plan.order > 1 else np.ones(len(at), dtype=bool)
     rows += _unigrams(plan, g, text[start], word[start], np.zeros(int(start.sum())))
     later = np.nonzero(~start)[0]
-    later = later[np.argsort(word[later - 1])]  # equal words before in a row, for the packing
+    later = later[np.lexsort((word[np.maximum(later - 2, 0)], word[later], word[later - 1]))]  # equal n-grams in a row, for the packing
     train = np.array([t[1] for t in texts], dtype=np.int64)[text[later]]
     before = [np.where(at[later] >= k, word[np.maximum(later - k, 0)], 0) for k in range(1, plan.order)]
     if len(later):
@@ -264,8 +265,14 @@ def _unigrams(plan: Plan, g: int, text: np.ndarray, word: np.ndarray, costs: np.
     return rows
 
 
-def _emit_places(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_places(plan: Plan, turn: int, turns: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all flushes: places of the buckets whose turn it is, the other kinds at the first turn."""
     get = plan.numbers.get
+
+    def due(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        rows = [r for r in rows if (r["p"] % turns == turn if r["kind"] == PLACES else turn == 0)]
+        return iter(pa.Table.from_pylist(rows, ROWS).to_batches(1000))
+
     held: list[tuple] = []
     g, size = 0, 0
     for batch in batches:
@@ -277,10 +284,10 @@ def _emit_places(plan: Plan, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 held.append((doc_id, train, ids))
                 size += len(ids)
                 if size > min(plan.capacity, FLUSH):
-                    yield from pa.Table.from_pylist(_flush(plan, g, held), ROWS).to_batches(1000)
+                    yield from due(_flush(plan, g, held))
                     held, size = [], 0
     if held:
-        yield from pa.Table.from_pylist(_flush(plan, g, held), ROWS).to_batches(1000)
+        yield from due(_flush(plan, g, held))
 
 
 def _number(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -394,10 +401,12 @@ def _sums(table: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(np.full(len(own), table.column("g")[0].as_py())), "i": pa.array(own), "cost": pa.array(costs)})
 
 
-def score(docs: DataFrame, held_out_fold: int = 1, *, order: int = 3, floor: float = 0.0, head: float = 5e-7, capacity: int = 800_000) -> DataFrame:
+def score(docs: DataFrame, held_out_fold: int = 1, *, order: int = 3, floor: float = 0.0, head: float = 5e-7, capacity: int = 800_000, turns: int = 2) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        whole = cut(whole)  # rows must come in the same order at each scan, as they do from files
     training = whole.where(fold(F.col("doc_id")) != held_out_fold)
     vocabulary = cut(training.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     _release(spark)
@@ -423,12 +432,15 @@ def score(docs: DataFrame, held_out_fold: int = 1, *, order: int = 3, floor: flo
     def again(table: pa.Table) -> pa.Table:
         return pa.Table.from_pylist(_bucket(shared.value, table, True), ROWS)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _emit_places(shared.value, batches)
+    def emit(turn: int):
+        return lambda batches: _emit_places(shared.value, turn, turns, batches)
 
     texts = whole.select(F.monotonically_increasing_id().alias("row"), "doc_id", (fold(F.col("doc_id")) != held_out_fold).alias("train"), "text")
-    done = cut(texts.mapInArrow(emit, ROWS_SQL).groupBy("p").applyInArrow(dealt, ROWS_SQL))
-    _release(spark)
+    done = None
+    for turn in range(turns):  # the texts are read once a turn, and a turn's places are gone from disk before the next
+        part = cut(texts.mapInArrow(emit(turn), ROWS_SQL).groupBy("p").applyInArrow(dealt, ROWS_SQL))
+        _release(spark)
+        done = part if done is None else done.unionByName(part)
     if hot:
         done = done.where(F.col("kind") != PLACES).unionByName(cut(done.where(F.col("kind") == PLACES).groupBy("p").applyInArrow(again, ROWS_SQL)))
         _release(spark)
