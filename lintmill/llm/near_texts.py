@@ -6,9 +6,10 @@ shingles differ in few of these bits (on the test tables in 9 or fewer for 99.8
 fingerprint has three segments; a key is the Golay codeword index of two of them, and each segment gives one or six indices. Of
 up to five differing bits two segments have at most two each, and then the texts share a key; with more bits they share one with falling likelihood.
 
-The rows of a key are walked in order of size. The first is a leader; rows within ``2 * radius`` bits and 1.25 ** 2 of
+The rows of a key that are within ``radius`` bits and 1.25 in size, directly or through others, have one home, named by the smallest. Keys of more than
+``whole`` rows are walked in order of size instead: the first row is a leader; rows within ``2 * radius`` bits and 1.25 ** 2 of
 its size are sent to its home, those within ``radius`` bits and 1.25 of its size are done with, the others go on to the next leader. By the triangle
-inequality two rows within ``radius`` bits and 1.25 in size always meet in some home, so no pair is listed. A home's
+inequality two near rows always meet in some home, so no pair is listed. A home's
 shingle sets are compared exactly; homes of more than ``block`` texts are compared block against block. Only the edges of a spanning forest leave a task.
 
 Texts are lower-cased (A-Z) and compared as words; equal word sequences are one node, whose copies never meet again. Null and empty
@@ -110,8 +111,25 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(columns, ["key", "node", "fp", "n"])
 
 
+def _linked(node: np.ndarray, fp: np.ndarray, n: np.ndarray, radius: int, ratio: float) -> list[tuple[int, int]]:
+    """(smallest member, member) of each set of rows that near ones connect; rows come in order of size."""
+    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius) & (n[None, :] <= n[:, None] * ratio) & (n[:, None] <= n[None, :] * ratio)
+    out: list[tuple[int, int]] = []
+    left = near.sum(axis=1) > 1
+    while left.any():
+        root = int(np.argmax(left))
+        left[root] = False
+        front = [root]
+        while front:
+            new = np.nonzero(near[front.pop()] & left)[0].tolist()
+            left[new] = False
+            front += new
+            out += [(int(node[root]), int(node[x])) for x in new]
+    return out
+
+
 class _Walk:
-    """Leaders of the key at hand; rows come in order of key and size."""
+    """Leaders of a key with more rows than one matrix holds; rows come in order of size, part by part."""
 
     def __init__(self, radius: int, ratio: float) -> None:
         self.radius, self.ratio, self.key = radius, ratio, None
@@ -125,13 +143,11 @@ class _Walk:
         open_ = np.ones(len(node), dtype=bool)
         for leader in self.leaders:
             self._send(leader, node, fp, n, open_, 0)
-        at = 0
-        while at < len(node):
+        for at in range(len(node)):
             if open_[at]:
                 leader = (int(node[at]), int(fp[at]), float(n[at]))
                 self.leaders.append(leader)
                 self._send(leader, node, fp, n, open_, at + 1)
-            at += 1
 
     def _send(self, leader: tuple[int, int, float], node: np.ndarray, fp: np.ndarray, n: np.ndarray, open_: np.ndarray, start: int) -> None:
         own, print_, size = leader
@@ -141,30 +157,50 @@ class _Walk:
         open_[start:] &= ~((bits <= self.radius) & (n[start:] <= size * self.ratio))
 
 
-def _homes(radius: int, ratio: float):
+def _homes(radius: int, ratio: float, whole: int):
     """(leader, node) from rows (key, node, fp, n) in order of key and size; a leader's own row is left to the reader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, held = _Walk(radius, ratio), None
+        walk, held, hot = _Walk(radius, ratio), None, None
+        out: list[tuple[int, int]] = []
+
+        def small(key: np.ndarray, node: np.ndarray, fp: np.ndarray, n: np.ndarray) -> None:
+            if not len(key):
+                return
+            starts = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
+            sizes = np.diff(np.append(starts, len(key)))
+            two = starts[sizes == 2]
+            close = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (n[two + 1] <= n[two] * ratio)]
+            out.extend(zip(node[close].tolist(), node[close + 1].tolist()))
+            for a, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                out.extend(_linked(node[a : a + size], fp[a : a + size], n[a : a + size], radius, ratio))
+
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "fp", "n")]
-            if held is not None:  # a lone last row may have company in this batch
+            columns[2] = columns[2].view(np.uint64)
+            if held is not None:
                 columns = [np.concatenate((h, c)) for h, c in zip(held, columns)]
-            key, node, fp, n = columns[0], columns[1], columns[2].view(np.uint64), columns[3]
-            starts = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
-            ends = np.append(starts[1:], len(key))
-            lone_last = ends[-1] - starts[-1] == 1 and key[-1] != walk.key
-            held = [c[-1:] for c in columns] if lone_last else None
-            many = (ends - starts > 1) | (key[starts] == walk.key if walk.key is not None else False)
-            for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-                if b - a == 2 and key[a] != walk.key and b < len(key):
-                    if n[b - 1] <= n[a] * ratio and int(fp[a] ^ fp[a + 1]).bit_count() <= radius:
-                        walk.out.append((int(node[a]), int(node[a + 1])))
-                else:
-                    walk.group(int(key[a]), node[a:b], fp[a:b], n[a:b])
-            if walk.out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in walk.out], pa.int64()) for i in (0, 1)], ["leader", "node"])
-                walk.out = []
+            if hot is not None:  # more of a key that is being walked
+                rest = int(np.searchsorted(columns[0], hot, "right"))
+                if rest:
+                    walk.group(hot, *(c[:rest] for c in columns[1:]))
+                columns = [c[rest:] for c in columns]
+                hot = hot if not len(columns[0]) else None
+            last = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            small(*(c[:last] for c in columns))
+            held = [c[last:] for c in columns]
+            if len(held[0]) > whole:
+                hot = int(held[0][0])
+                walk.group(hot, *held[1:])
+                held = None
+            out, walk.out = out + walk.out, []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["leader", "node"])
+                out = []
+        if held is not None:
+            small(*held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["leader", "node"])
 
     return run
 
@@ -232,7 +268,7 @@ def _row_key(docs: DataFrame) -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def near_text_groups(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = 400) -> DataFrame:
+def near_text_groups(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = 400, whole: int = 2000) -> DataFrame:
     """Per distinct (doc_id, text) of ``docs``: row_key, doc_id, group (a number).
 
     Rows of one group are linked by near copies, directly or through others. An empty table gives no rows.
@@ -244,7 +280,7 @@ def near_text_groups(docs: DataFrame, *, shingle: int = SHINGLE, similarity: flo
     nodes = cut(rows.groupBy("high", "low").agg(first.alias("first"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     # sets of under 1 / (1 / similarity - 1) values are near copies only if equal
     keyed = nodes.where(F.col("n") >= int(1 / (ratio - 1))).select("node", "fp", "n").mapInArrow(_keys, "key long, node long, fp long, n long")
-    walked = keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_homes(radius, ratio), "leader long, node long")
+    walked = keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_homes(radius, ratio, whole), "leader long, node long")
     homes = cut(walked.distinct())
     homes = homes.unionByName(homes.select("leader", F.col("leader").alias("node")).distinct())
     sized = homes.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

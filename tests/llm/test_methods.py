@@ -103,8 +103,8 @@ def test_near_texts_by_brute_force(spark):
     texts = _near_copies(rng, [1] * 30 + [2] * 20 + [3, 4, 5, 8, 40]) + ["", "  ", "three words only", "Three  words only"]
     pairs, groups = _near_groups(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (400, 7):
-        got = {r["doc_id"]: r["group"] for r in near_texts.near_text_groups(docs, block=block).collect()}
+    for block, whole in ((400, 2000), (7, 3)):
+        got = {r["doc_id"]: r["group"] for r in near_texts.near_text_groups(docs, block=block, whole=whole).collect()}
         found = sum(got[a] == got[b] for a, b in pairs)
         assert len(pairs) > 100 and found >= 0.98 * len(pairs), (found, len(pairs))
         members = {}
