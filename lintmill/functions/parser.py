@@ -6,6 +6,8 @@ the statements read so far and the error.
 
 from __future__ import annotations
 
+import sys
+
 from dataclasses import dataclass, field
 
 from lintmill.functions.lexer import Comment, Lexer, ScriptError, Token, cooked, number_value
@@ -1401,7 +1403,11 @@ class Parser:
 
 
 def parse(source: str, language: str = "js") -> Parsed:
-    """Nodes, tokens and comments of one source; language is js, jsx, ts or tsx."""
+    """Nodes, tokens and comments of one source; language is js, jsx, ts or tsx.
+
+    Reading goes as deep as the source does: Python's own frames are on the heap, so only the limit on their number is raised.
+    """
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 400_000, 12 * len(source)))
     starts = [0]
     for i, c in enumerate(source):
         if c in "\n\u2028\u2029" or (c == "\r" and source[i + 1 : i + 2] != "\n"):

@@ -20,14 +20,12 @@ def suppress(diagnostics: DataFrame, said: DataFrame) -> DataFrame:
     """``diagnostics`` without those that a directive covers.
 
     A line directive covers its line. Otherwise the last disable or enable at or before a diagnostic's line decides, whichever
-    names its rule or all; that is a maximum over an equi-join, not an ordered scan.
+    names its rule or all. A file's directives are one array that is joined by path, so each diagnostic is decided in its own row,
+    and the plan reads the diagnostics once.
     """
-    keyed = diagnostics.withColumn("d_id", F.monotonically_increasing_id())
-    d = said.select(F.col("path").alias("s_path"), F.col("kind").alias("s_kind"), F.col("line").alias("s_line"), F.col("start").alias("s_start"), F.col("rule").alias("s_rule"))
-    names = (F.col("path") == F.col("s_path")) & F.col("s_rule").isin("*") | (F.col("path") == F.col("s_path")) & (F.col("s_rule") == F.col("rule"))
-    hits = keyed.join(d, (F.col("path") == F.col("s_path")) & names & (F.col("s_line") <= F.col("line")), "left")
-    exact = F.coalesce(F.max(F.col("s_kind").isin("disable-line", "disable-next-line") & (F.col("s_line") == F.col("line"))), F.lit(False))
-    last = F.max_by("s_kind", F.when(F.col("s_kind").isin("disable", "enable"), F.struct("s_line", "s_start")))
-    verdict = hits.groupBy("d_id").agg(exact.alias("exact"), last.alias("last"))
-    kept = verdict.where(~F.col("exact") & (F.coalesce("last", F.lit("enable")) != "disable")).select("d_id")
-    return keyed.join(kept, "d_id", "left_semi").drop("d_id")
+    per_file = said.groupBy(F.col("path").alias("s_path")).agg(F.collect_list(F.struct("line", "start", "kind", "rule")).alias("s_all"))
+    joined = diagnostics.join(per_file, F.col("path") == F.col("s_path"), "left")
+    named = F.filter(F.coalesce("s_all", F.array()), lambda s: (s["rule"].isin("*") | (s["rule"] == F.col("rule"))) & (s["line"] <= F.col("line")))
+    exact = F.exists(named, lambda s: s["kind"].isin("disable-line", "disable-next-line") & (s["line"] == F.col("line")))
+    last = F.array_max(F.filter(named, lambda s: s["kind"].isin("disable", "enable")))["kind"]
+    return joined.where(~exact & (F.coalesce(last, F.lit("enable")) != "disable")).drop("s_path", "s_all")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lintmill.operators import node_rules, structure_rules
+from lintmill.functions.tree import File
+from lintmill.operators import node_rules, structure_rules, tree_rules
 from lintmill.operators.config import PRESET, severity
 from lintmill.operators.directives import directives, suppress
 from lintmill.operators.fixes import with_fixes
@@ -21,7 +22,8 @@ COLUMNS = ("path", "rule", "severity", "message", "line", "col", "start", "end",
 def catalog() -> dict[str, tuple[str, str]]:
     """rule -> (category, message template) of all rules."""
     found = {n: (r.category, r.message) for n, r in node_rules.RULES.items()}
-    return found | {n: r[:2] for n, r in structure_rules.RULES.items()}
+    found |= {n: r[:2] for n, r in structure_rules.RULES.items()}
+    return found | {n: (r.category, r.message) for n, r in tree_rules.RULES.items()}
 
 
 def rule_names(pattern: str = "*") -> list[str]:
@@ -38,9 +40,34 @@ def severities(config: dict | None = None) -> dict[str, int]:
     return {n: s for n, s in levels.items() if s and n in known}
 
 
+def options(config: dict | None = None) -> dict[str, list]:
+    """What follows the severity in a rule's entry: ["error", {...}] gives [{...}]."""
+    known = catalog()
+    return {n if n in known else n.rsplit("/", 1)[-1]: list(v[1:]) for n, v in (config or {}).get("rules", {}).items() if isinstance(v, (list, tuple))}
+
+
 def needed(names: list[str]) -> tuple[str, ...]:
-    """Relations that the rules use; a scan of nodes and comments alone is much cheaper than all."""
-    return tuple(RELATIONS) if any(n in structure_rules.RULES for n in names) else ("nodes", "comments", "errors")
+    """Relations that the rules use: none of nodes where all rules run with the parser, nodes and comments for rules of one row, else all."""
+    others = [n for n in names if n not in tree_rules.RULES]
+    return ("comments", "errors") if not others else tuple(RELATIONS) if any(n in structure_rules.RULES for n in others) else ("nodes", "comments", "errors")
+
+
+def inspector(names: list[str], given: dict[str, list] | None = None):
+    """What runs the named tree rules on a file where it is parsed; None if there are none. Rules that are data travel along."""
+    chosen = {n: (given or {}).get(n, []) for n in names if n in tree_rules.RULES}
+    data = {n: tree_rules.RULES[n].data for n in chosen if tree_rules.RULES[n].data is not None}
+
+    def inspect(f: File):
+        if missing := [n for n in data if n not in tree_rules.RULES]:
+            from lintmill.operators import rule_ir
+
+            for n in missing:
+                rule_ir.register(data[n])
+        for n, own in chosen.items():
+            for node, said in tree_rules.find(f, n, own):
+                yield n, node["start"], node["end"], said
+
+    return inspect if chosen else None
 
 
 def template(message: Column, data: Column) -> Column:
@@ -51,16 +78,18 @@ def template(message: Column, data: Column) -> Column:
 
 def diagnose(t: Tables, levels: dict[str, int], *, budget: int = BUDGET) -> DataFrame:
     """Diagnostics of the enabled rules: COLUMNS. At most ``budget`` of one rule a file (a feature of the report); 0 for all."""
-    in_rows = [n for n in levels if n in node_rules.RULES]
-    joined = [n for n in levels if n in structure_rules.RULES]
-    found = None
+    in_tree = [n for n in levels if n in tree_rules.RULES]
+    in_rows = [n for n in levels if n in node_rules.RULES and n not in tree_rules.RULES]
+    joined = [n for n in levels if n in structure_rules.RULES and n not in tree_rules.RULES]
+    found = t.found.where(F.col("rule").isin(*in_tree)).select("path", "rule", "line", "col", "start", "end", "attrs") if in_tree else None
     if in_rows:
         ts = {n for n in in_rows if node_rules.RULES[n].languages == "ts"}
-        found = node_rules.run_node_rules(t.nodes, in_rows).drop("node_id")
+        part = node_rules.run_node_rules(t.nodes, in_rows).drop("node_id")
         if ts:
             typed = t.files.where(F.col("language").isin("ts", "tsx")).select("path")
-            plain = found.where(~F.col("rule").isin(*ts))
-            found = plain.unionByName(found.where(F.col("rule").isin(*ts)).join(typed, "path", "left_semi"))
+            plain = part.where(~F.col("rule").isin(*ts))
+            part = plain.unionByName(part.where(F.col("rule").isin(*ts)).join(typed, "path", "left_semi"))
+        found = part if found is None else found.unionByName(part)
     if joined:
         part = structure_rules.run_structure_rules(t, joined).drop("node_id")
         found = part if found is None else found.unionByName(part)
@@ -73,7 +102,7 @@ def diagnose(t: Tables, levels: dict[str, int], *, budget: int = BUDGET) -> Data
     errors = t.errors.select("path", F.lit("parse-error").alias("rule"), F.lit(2).alias("severity"), "message", "line", "col", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("struct<start:int,end:int,text:string>").alias("fix"))
     out = suppress(out.select(*COLUMNS), directives(t.comments)).unionByName(errors)
     if budget:
-        w = W.partitionBy("path", "rule").orderBy("line", "col")
+        w = W.partitionBy("path", "rule").orderBy("line", "col", "end", "message")
         out = out.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= budget).drop("nth")
     return out
 
@@ -81,10 +110,9 @@ def diagnose(t: Tables, levels: dict[str, int], *, budget: int = BUDGET) -> Data
 def lint(files: DataFrame, config: dict | None = None, *, budget: int = BUDGET) -> DataFrame:
     """Diagnostics of ``files(path, language, source)``; the parse is kept for all rules of the run."""
     levels = severities(config)
-    t = parse_files(files, needed(list(levels)))
-    if any(n in structure_rules.RULES for n in levels):
-        t = Tables(keep(t.parsed))
-    return diagnose(t, levels, budget=budget)
+    names = list(levels)
+    t = parse_files(files, needed(names), inspect=inspector(names, options(config)))
+    return diagnose(Tables(keep(t.parsed)), levels, budget=budget)
 
 
 def lint_source(spark, source: str, filename: str = "source.js", config: dict | None = None) -> DataFrame:

@@ -282,3 +282,95 @@ def select(nodes: DataFrame, selector: str) -> DataFrame:
         part = _matching(nodes, m).select(*columns)
         out = part if out is None else out.unionByName(part)
     return out if len(members) == 1 else out.dropDuplicates(["path", "node_id"])
+
+
+# -- the same selectors on one tree in memory ---------------------------------------------------
+
+_TREE_CLASSES = {
+    "function": lambda t: t in FUNCTIONS,
+    "statement": lambda t: t.endswith(("Statement", "Declaration")),
+    "declaration": lambda t: t.endswith("Declaration"),
+    "pattern": lambda t: t.endswith(("Pattern", "Expression")) or t == "Identifier",
+    "expression": lambda t: t.endswith(("Expression", "Literal")) or t == "Identifier",
+}
+
+
+def _tree_value(f, node: dict, path: str):
+    at: object = node
+    for part in path.split("."):
+        if part == "parent" and isinstance(at, dict):
+            at = f.parent(at)
+        elif isinstance(at, list):
+            at = len(at) if part == "length" else at[int(part)] if part.isdigit() and int(part) < len(at) else None
+        else:
+            at = at.get(part) if isinstance(at, dict) else None
+        if at is None:
+            return None
+    return at
+
+
+def _tree_attribute(f, node: dict, path: str, op: str | None, value: str | None, form: str) -> bool:
+    found = _tree_value(f, node, path)
+    if op is None:
+        return found is not None
+    text = "true" if found is True else "false" if found is False else None if found is None else str(int(found)) if isinstance(found, float) and found == int(found) else str(found)
+    if form == "pattern":
+        return (text is not None and re.search(value, text) is not None) == (op == "=")
+    if form == "type":
+        return (type(found).__name__ == {"string": "str", "boolean": "bool", "number": "int"}.get(value, value)) == (op == "=")
+    if op in ("=", "!="):
+        return (text == value) == (op == "=")
+    try:
+        a, b = float(text), float(value)
+    except (TypeError, ValueError):
+        return False
+    return {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
+
+
+def _tree_compound(f, node: dict, c: Compound) -> bool:
+    if c.type not in (None, "*") and node["type"] != c.type:
+        return False
+    if not all(_tree_attribute(f, node, *a) for a in c.attributes) or not all(_TREE_CLASSES[k](node["type"]) for k in c.classes):
+        return False
+    if c.field is not None:
+        at, names = node, c.field.split(".")
+        for name in reversed(names):
+            if at is None or f.slot(at) != name:
+                return False
+            at = f.parent(at)
+    for name, n in c.places:
+        parent = f.parent(node)
+        row = parent.get(f.slot(node)) if parent is not None else None
+        if not isinstance(row, list) or (f.index(node) != n - 1 if name in ("first-child", "nth-child") else f.index(node) != len(row) - n):
+            return False
+    for name, members in c.groups:
+        if name == "has":
+            hit = any(any(d is not node and _tree_test(f, d, m) for d in f.nodes if node["start"] <= d["start"] and d["end"] <= node["end"] and any(a is node for a in f.above(d))) for m in members)
+        else:
+            hit = any(_tree_test(f, node, m) for m in members)
+        if hit == (name == "not"):
+            return False
+    return True
+
+
+def _tree_test(f, node: dict, s: Compound | Joined) -> bool:
+    if isinstance(s, Compound):
+        return _tree_compound(f, node, s)
+    if not _tree_test(f, node, s.right):
+        return False
+    parent = f.parent(node)
+    if s.combinator == ">":
+        return parent is not None and _tree_test(f, parent, s.left)
+    if s.combinator == " ":
+        return any(_tree_test(f, a, s.left) for a in f.above(node))
+    row = parent.get(f.slot(node)) if parent is not None else None
+    if not isinstance(row, list):
+        return False
+    before = row[: f.index(node)][-1:] if s.combinator == "+" else row[: f.index(node)]
+    return any(isinstance(b, dict) and _tree_test(f, b, s.left) for b in before)
+
+
+def match_tree(f, selector: str) -> list[dict]:
+    """Nodes of a file's tree that a selector list matches, in order of place; ``:exit`` at the end of a member is ignored."""
+    members = parse_selector(re.sub(r":exit\b", "", selector))
+    return sorted((n for n in f.nodes if any(_tree_test(f, n, m) for m in members)), key=lambda n: (n["start"], -n["end"]))

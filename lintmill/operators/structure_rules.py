@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lintmill.operators.selectors import FUNCTIONS, attribute, select
 from lintmill.plans.parsed import Tables
+from lintmill.plans.parsed import keep as kept
 
 RULES: dict[str, tuple[str, str, Callable[[Tables], DataFrame]]] = {}
 OUT = ("path", "rule", "node_id", "line", "col", "start", "end", "attrs")
@@ -134,12 +135,14 @@ def no_shadow_restricted_names(t: Tables) -> DataFrame:
 
 def scope_ancestors(scopes: DataFrame) -> DataFrame:
     """(path, scope_id, above): every strict ancestor of each scope, by doubling the parent join."""
-    step = scopes.where("parent_scope is not null").select("path", "scope_id", F.col("parent_scope").alias("above"))
-    closure = step
-    deepest = scopes.agg(F.max("depth")).first()[0] or 0
-    for _ in range(int(deepest).bit_length()):  # each round doubles the paths
-        onward = closure.select("path", F.col("scope_id").alias("above"), F.col("above").alias("next"))
-        closure = closure.unionByName(closure.join(onward, ["path", "above"]).select("path", "scope_id", F.col("next").alias("above"))).distinct()
+    closure = kept(scopes.where("parent_scope is not null").select("path", "scope_id", F.col("parent_scope").alias("above"), F.lit(1).alias("up")))
+    reach = 1  # paths of up to so many steps are known; each round doubles them, and each is found once, at its own length
+    while (closure.agg(F.max("up")).first()[0] or 0) == reach:
+        far = closure.where(F.col("up") == reach).select("path", F.col("scope_id").alias("from"), F.col("above").alias("scope_id"))
+        onward = far.join(closure, ["path", "scope_id"]).select("path", F.col("from").alias("scope_id"), "above", (F.col("up") + reach).alias("up"))
+        closure = kept(closure.unionByName(onward))
+        reach *= 2
+    closure = closure.select("path", "scope_id", "above")
     return closure
 
 

@@ -7,7 +7,9 @@ hashes and not texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lintmill.functions.parser import parse
 from lintmill.functions.relations import Rows
+from lintmill.functions.tree import File
 
 _POSITION = "start:int,end:int,line:int,col:int"
 TOKEN = f"kind:string,text:string,{_POSITION},nl_before:boolean"
@@ -26,8 +29,12 @@ SCOPE = "scope_id:int,parent_scope:int,kind:string,node_id:int,depth:int"
 SYMBOL = f"symbol_id:int,scope_id:int,name:string,kind:string,node_id:int,{_POSITION},has_init:boolean"
 REF = f"ref_id:int,name:string,node_id:int,scope_id:int,symbol_id:int,is_read:boolean,is_write:boolean,is_init:boolean,{_POSITION}"
 ERROR = "message:string,line:int,col:int"
+FOUND = "rule:string,start:int,end:int,line:int,col:int,attrs:map<string,string>"
 RELATIONS = {"tokens": TOKEN, "comments": COMMENT, "nodes": NODE, "scopes": SCOPE, "symbols": SYMBOL, "refs": REF, "errors": ERROR}
-SCHEMA = "path string, language string, source string, " + ", ".join(f"{k} array<struct<{v}>>" for k, v in RELATIONS.items())
+COLUMNS = RELATIONS | {"found": FOUND}
+SCHEMA = "path string, language string, source string, " + ", ".join(f"{k} array<struct<{v}>>" for k, v in COLUMNS.items())
+#: What looks at a file where it is parsed: findings as (rule, start, end, data).
+Inspect = Callable[[File], Iterator[tuple[str, int, int, dict]]]
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -44,23 +51,33 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.list_(pa.struct(fields))
 
 
-_ARROW = {k: _arrow(v) for k, v in RELATIONS.items()}
+_ARROW = {k: _arrow(v) for k, v in COLUMNS.items()}
 
 
-def parse_source(source: str, language: str, need: frozenset[str] = frozenset(RELATIONS)) -> dict[str, list[dict]]:
+def parse_source(source: str, language: str, need: frozenset[str] = frozenset(RELATIONS), inspect: Inspect | None = None, path: str = "") -> dict[str, list[dict]]:
     """All relations of one source as lists of dicts; bad input gives a row in ``errors`` and what came before it."""
     source = source.removeprefix("﻿")
     parsed = parse(source, language)
-    rows = Rows(source, parsed)
-    out: dict[str, list[dict]] = {k: [] for k in RELATIONS}
+    rows = Rows(source, parsed, attributes="nodes" in need) if need - {"errors", "comments"} else None
+    out: dict[str, list[dict]] = {k: [] for k in COLUMNS}
+    starts = parsed.starts
+
+    def place(offset: int) -> tuple[int, int]:
+        line = bisect_right(starts, offset)
+        return line, offset - starts[line - 1]
+
+    if inspect is not None:
+        for rule, start, end, data in inspect(File(path, source, language, parsed)):
+            line, col = place(start)
+            out["found"].append({"rule": rule, "start": start, "end": end, "line": line, "col": col, "attrs": list(data.items())})
     if "tokens" in need:
         for t in parsed.tokens:
-            line, col = rows.place(t.start)
+            line, col = place(t.start)
             out["tokens"].append({"kind": t.kind, "text": t.text, "start": t.start, "end": t.end, "line": line, "col": col, "nl_before": t.after_newline})
     if "comments" in need:
         for c in parsed.comments:
-            line, col = rows.place(c.start)
-            out["comments"].append({"kind": c.kind, "text": c.text, "start": c.start, "end": c.end, "line": line, "col": col, "end_line": rows.place(c.end)[0]})
+            line, col = place(c.start)
+            out["comments"].append({"kind": c.kind, "text": c.text, "start": c.start, "end": c.end, "line": line, "col": col, "end_line": place(c.end)[0]})
     if "nodes" in need:
         for n in rows.nodes:
             n["attrs"] = list(n["attrs"].items())
@@ -69,19 +86,19 @@ def parse_source(source: str, language: str, need: frozenset[str] = frozenset(RE
         if name in need:
             out[name] = getattr(rows, name)
     if parsed.error is not None:
-        line, col = rows.place(min(parsed.error.at, len(source)))
+        line, col = place(min(parsed.error.at, len(source)))
         out["errors"].append({"message": parsed.error.message, "line": line, "col": col})
     return out
 
 
-def _parser(need: frozenset[str]):
+def _parser(need: frozenset[str], inspect: Inspect | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                parsed = [parse_source(s or "", lang or "js", need) for s, lang in zip(part.column("source").to_pylist(), part.column("language").to_pylist(), strict=True)]
-                columns = [pa.array([p[k] for p in parsed], _ARROW[k]) for k in RELATIONS]
-                yield pa.RecordBatch.from_arrays([part.column("path"), part.column("language"), part.column("source"), *columns], ["path", "language", "source", *RELATIONS])
+                parsed = [parse_source(s or "", lang or "js", need, inspect, path) for s, lang, path in zip(*(part.column(c).to_pylist() for c in ("source", "language", "path")), strict=True)]
+                columns = [pa.array([p[k] for p in parsed], _ARROW[k]) for k in COLUMNS]
+                yield pa.RecordBatch.from_arrays([part.column("path"), part.column("language"), part.column("source"), *columns], ["path", "language", "source", *COLUMNS])
 
     return run
 
@@ -123,12 +140,17 @@ class Tables:
     def errors(self) -> DataFrame:
         return self._relation("errors")
 
+    @cached_property
+    def found(self) -> DataFrame:
+        """What the rules that ran with the parser found."""
+        return self._relation("found")
+
     @cached_property
     def files(self) -> DataFrame:
         return self.parsed.select("path", "language", "source")
 
 
-def parse_files(files: DataFrame, need: tuple[str, ...] = tuple(RELATIONS), dedupe: bool = False) -> Tables:
+def parse_files(files: DataFrame, need: tuple[str, ...] = tuple(RELATIONS), dedupe: bool = False, inspect: Inspect | None = None) -> Tables:
     """Relations of ``files(path, language, source)``.
 
     ``need`` names the relations to build; the others are empty. With ``dedupe`` one file of each text
@@ -136,15 +158,18 @@ def parse_files(files: DataFrame, need: tuple[str, ...] = tuple(RELATIONS), dedu
     """
     wanted = files.select("path", F.coalesce("language", F.lit("js")).alias("language"), F.coalesce("source", F.lit("")).alias("source"))
     if not dedupe:
-        return Tables(wanted.mapInArrow(_parser(frozenset(need)), SCHEMA))
+        return Tables(wanted.mapInArrow(_parser(frozenset(need), inspect), SCHEMA))
     hashed = wanted.withColumn("text_hash", F.sha2(F.concat_ws("\0", "language", "source"), 256))
-    parsed = hashed.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("path"), "language", "source").mapInArrow(_parser(frozenset(need)), SCHEMA)
+    parsed = hashed.dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("path"), "language", "source").mapInArrow(_parser(frozenset(need), inspect), SCHEMA)
     return Tables(hashed.select("path", "text_hash").join(parsed.withColumnRenamed("path", "text_hash"), "text_hash").drop("text_hash"))
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """``df`` computed once for several uses: in the shared checkpoint folder where one is set, else cached."""
+    """``df`` computed once for several uses: as Parquet below the shared checkpoint folder where one is set, else cached."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        return df.persist()
+    path = f"{folder}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

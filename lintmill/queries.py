@@ -148,18 +148,6 @@ def line_max_len(spark, sf_dir):
     return lines(_files(spark, sf_dir)).where(F.length("text") > 400).select(F.col("path").alias("doc_id"), "line", F.length("text").alias("size"))
 
 
-@query("select doc_id, cast(len(string_split(text, chr(10))) as int) as lines from documents where len(string_split(text, chr(10))) > 3")
-def rule_max_lines(spark, sf_dir):
-    n = F.size(F.split("text", "\n"))
-    return _t(spark, sf_dir, "documents").where(n > 3).select("doc_id", n.alias("lines"))
-
-
-@query("select page_id, cast(count(*) as bigint) as breaks from (select page_id, unnest(regexp_extract_all(html, '\\r\\n|\\r|\\n')) as b from pages) group by page_id")
-def rule_linebreak_style(spark, sf_dir):
-    found = F.regexp_count("html", F.lit("\r\n|\r|\n")).cast("long")
-    return _t(spark, sf_dir, "pages").select("page_id", found.alias("breaks")).where("breaks > 0")
-
-
 @query(f"with {_LINES} select line, count(*) as n, count(distinct doc_id) as docs from lines where line <> '' group by line having count(*) > 1")
 def duplicate_lines(spark, sf_dir):
     found = lines(_files(spark, sf_dir)).where("text <> ''").groupBy(F.col("text").alias("line"))
@@ -172,16 +160,6 @@ def line_stats(spark, sf_dir):
     return found.agg(F.count("*").alias("lines"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("characters"))
 
 
-@query("select page_id, trim(unnest(regexp_extract_all(html, '<!--([\\s\\S]*?)-->', 1))) as comment from pages")
-def page_comments(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.explode(F.expr(r"regexp_extract_all(html, r'<!--([\s\S]*?)-->', 1)")).alias("c")).select("page_id", F.trim("c").alias("comment"))
-
-
-@query("select page_id, cast(instr(html, '<script') as int) as at, cast(octet_length(encode(html)) as int) as bytes, cast(length(html) as int) as points from pages")
-def offsets_by_unit(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.instr("html", "<script").alias("at"), F.octet_length("html").alias("bytes"), F.length("html").alias("points"))
-
-
 # -- paths, globs, configuration ----------------------------------------------------------------
 
 
@@ -271,90 +249,9 @@ def tree_not(spark, sf_dir):
     return select(_tree(spark, sf_dir), "Nation:not([name=/A$/])").select(F.col("attrs")["name"].alias("name"))
 
 
-_CLOSURE = "with recursive edges as (select 'n' || n_nationkey as id, 'r' || n_regionkey as parent from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer), up as (select id, parent as above, 1 as distance from edges union all select up.id, e.parent, up.distance + 1 from up join edges e on up.above = e.id) select id, above, cast(distance as int) as distance from up"
-
-
-@query(_CLOSURE)
-def tree_ancestor_closure(spark, sf_dir):
-    for name in ("nation", "customer"):
-        _t(spark, sf_dir, name).createOrReplaceTempView(f"lm_{name}")
-    return spark.sql(_CLOSURE.replace("from nation", "from lm_nation").replace("from customer", "from lm_customer"))
-
-
-@query("select r_name as region, min(c_custkey) as first_id, max(c_custkey) as last_id, count(*) as n from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by r_name")
-def tree_subtree_minmax(spark, sf_dir):
-    joined = _t(spark, sf_dir, "region").join(_t(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).join(_t(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy(F.col("r_name").alias("region")).agg(F.min("c_custkey").alias("first_id"), F.max("c_custkey").alias("last_id"), F.count("*").alias("n"))
-
-
-@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
-def anti_unresolved_ref(spark, sf_dir):
-    used = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, sf_dir, "orders").select("o_orderkey").join(used, "o_orderkey", "left_anti")
-
-
-@query("select p_partkey from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity >= 49)")
-def semi_used_symbol(spark, sf_dir):
-    used = _t(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
-    return _t(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_semi")
-
-
-@query("select l_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate + interval 7 day")
-def use_before_define(spark, sf_dir):
-    joined = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.where(F.col("l_shipdate") < F.col("o_orderdate") + F.expr("interval 7 day")).select("l_orderkey", "l_linenumber")
-
-
-@query("select a.s_suppkey as inner_key, b.s_suppkey as outer_key from supplier a join supplier b on a.s_nationkey = b.s_nationkey and b.s_suppkey < a.s_suppkey and b.s_acctbal > a.s_acctbal")
-def shadow_self_join(spark, sf_dir):
-    a = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("inner_key"), F.col("s_acctbal").alias("x"))
-    b = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("outer_key"), F.col("s_acctbal").alias("y"))
-    return a.join(b, "k").where("outer_key < inner_key and y > x").select("inner_key", "outer_key")
-
-
 # -- windows and aggregates over siblings ---------------------------------------------------------
 
 
-@query("select o_orderkey from (select o_orderkey, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey) as nth from orders) where nth > 1")
-def dup_keep_first(spark, sf_dir):
-    w = W.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return _t(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(w)).where("nth > 1").select("o_orderkey")
-
-
-@query("select l_orderkey, l_linenumber from (select *, lag(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as before from lineitem) where before > l_partkey")
-def sorted_check_lag(spark, sf_dir):
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return _t(spark, sf_dir, "lineitem").withColumn("before", F.lag("l_partkey").over(w)).where("before > l_partkey").select("l_orderkey", "l_linenumber")
-
-
-@query("select l_orderkey, count(*) as n from lineitem group by l_orderkey having count(*) > 6")
-def max_children_having(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 6")
-
-
-@query("select l_orderkey, max(l_linenumber) as last from lineitem group by l_orderkey having arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) = 'R'")
-def last_in_group(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last"), F.max_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("flag")).where("flag = 'R'").select("l_orderkey", "last")
-
-
-@query("select l_orderkey from lineitem group by l_orderkey having bool_and(l_discount < 0.05)")
-def universal_all(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_discount") < 0.05).alias("ok")).where("ok").select("l_orderkey")
-
-
-@query("select l_orderkey, l_linenumber from (select *, max(case when l_returnflag = 'R' then 1 else 0 end) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate rows between 1 following and unbounded following) as later from lineitem) where l_returnflag = 'N' and later = 1")
-def right_to_left_scan(spark, sf_dir):
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").rowsBetween(1, W.unboundedFollowing)
-    later = F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).over(w)
-    return _t(spark, sf_dir, "lineitem").withColumn("later", later).where("l_returnflag = 'N' and later = 1").select("l_orderkey", "l_linenumber")
-
-
-@query("select o_custkey, cast(bit_or(case o_orderstatus when 'F' then 1 when 'O' then 2 else 4 end) as int) as bits from orders group by o_custkey")
-def ancestor_bits(spark, sf_dir):
-    bit = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bit_or(bit).alias("bits"))
-
-
 # -- directives, budgets, fixes, messages ---------------------------------------------------------
 
 
@@ -367,12 +264,6 @@ def directive_suppression(spark, sf_dir):
     return suppress(found, said).select("event_id")
 
 
-@query("select event_id from (select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) as nth from events) where nth <= 3")
-def error_budget(spark, sf_dir):
-    w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return _t(spark, sf_dir, "events").withColumn("nth", F.row_number().over(w)).where("nth <= 3").select("event_id")
-
-
 @query("select doc_id, 'X' || substr(text, 4) as text from documents where length(text) > 10")
 def fix_overlap_skip(spark, sf_dir):
     made = lambda a, b, t: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("text"))
@@ -394,20 +285,6 @@ def diag_by_rule(spark, sf_dir):
 # -- range and as-of joins ------------------------------------------------------------------------
 
 
-@query("select o_orderkey, l_linenumber from orders join lineitem on l_orderkey = o_orderkey and l_shipdate >= o_orderdate and l_shipdate < o_orderdate + interval 30 day")
-def range_comment_in_node(spark, sf_dir):
-    joined = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.where("l_shipdate >= o_orderdate and l_shipdate < o_orderdate + interval 30 day").select("o_orderkey", "l_linenumber")
-
-
-@query("select e.event_id, coalesce((select max(p.event_id) from events p where p.user_id = e.user_id and p.event_type = 'click' and p.event_id < e.event_id), -1) as before from events e where e.event_type = 'purchase'")
-def asof_token_before(spark, sf_dir):
-    events = _t(spark, sf_dir, "events")
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
-    return events.withColumn("before", F.coalesce(before, F.lit(-1).cast("long"))).where("event_type = 'purchase'").select("event_id", "before")
-
-
 # -- editor stream --------------------------------------------------------------------------------
 
 
@@ -467,6 +344,156 @@ def innermost_node(spark, sf_dir):
     return innermost(_script_tables(spark, sf_dir, "nodes").nodes, at).select("path", F.col("offset").alias("at"), "type")
 
 
-@query("select page_id, 1 as part, regexp_extract(url, '^(\\w+)://', 1) as scheme, 'page/' || page_id || '.html' as path from pages")
-def page_paths(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.lit(1).alias("part"), F.regexp_extract("url", r"^(\w+)://", 1).alias("scheme"), F.format_string("page/%d.html", "page_id").alias("path"))
+# -- generated scripts: every row of a table becomes a script, and the engine must find what its columns say -------
+
+
+def _generated(spark, sf_dir, source):
+    """A script for each part; ``source`` is a Column over part."""
+    return _t(spark, sf_dir, "part").select(F.format_string("part/%d.ts", "p_partkey").alias("path"), F.lit("ts").alias("language"), source.alias("source"))
+
+
+_PART = "'part/' || p_partkey || '.ts'"
+
+
+def _family_source(names: list[str]):
+    """Part k gets the example of rule k mod n: the one that breaks it if p_size is even."""
+    from lintmill.operators.examples import EXAMPLES, ROW_EXAMPLES
+
+    pairs = [(EXAMPLES.get(n) or ROW_EXAMPLES[n]) for n in names]
+    bad, good = (F.array(*[F.lit(p[i]) for p in pairs]) for i in (0, 1))
+    at = (F.col("p_partkey") % len(names) + 1).cast("int")
+    return F.when(F.col("p_size") % 2 == 0, F.element_at(bad, at)).otherwise(F.element_at(good, at))
+
+
+def _family_query(key: str, names: list[str]) -> None:
+    """A query that runs a family of rules over their examples; each must be found where its example breaks it."""
+    values = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+
+    def run(spark, sf_dir):
+        scripts = _generated(spark, sf_dir, _family_source(names))
+        found = lint(scripts, {"preset": False, "rules": {n: 2 for n in names}})
+        own = F.element_at(F.array(*[F.lit(n) for n in names]), (F.regexp_extract("path", r"/(\d+)", 1).cast("long") % len(names) + 1).cast("int"))
+        return found.where(F.col("rule") == own).select("path", "rule").distinct()
+
+    QUERIES[key], SQL[key] = run, f"with r(i, rule) as (values {values}) select {_PART} as path, rule from part join r on p_partkey % {len(names)} = i where p_size % 2 = 0"
+
+
+def _families() -> None:
+    from lintmill.operators.examples import EXAMPLES, ROW_EXAMPLES
+    from lintmill.operators.node_rules import RULES as rows
+    from lintmill.operators.tree_rules import RULES as tree
+
+    own = [n for n in EXAMPLES if n in tree]
+    for category in ("correctness", "suspicious", "style", "typescript"):
+        _family_query(f"rules_{category}", [n for n in own if tree[n].category == category])
+    _family_query("rules_of_one_row", [n for n in ROW_EXAMPLES if n in rows and n not in tree])
+
+
+@query(f"select {_PART} as path, cast(p_size as int) as depth from part")
+def tree_node_depth(spark, sf_dir):
+    """AGG-10: the deepest node of a script of p_size nested blocks."""
+    source = F.concat(F.repeat(F.lit("{"), F.col("p_size") - 1), F.lit("a"), F.repeat(F.lit("}"), F.col("p_size") - 1))
+    nodes = parse_files(_generated(spark, sf_dir, source), ("nodes",)).nodes
+    return nodes.groupBy("path").agg(F.max("depth").alias("d")).select("path", (F.col("d") - 1).cast("int").alias("depth"))
+
+
+@query(f"select {_PART} as path, cast(p_size as int) as n from part where p_size > 10")
+def scope_closure(spark, sf_dir):
+    """JN-04: each scope's ancestors, to any depth: a script of p_size nested blocks has a chain of so many scopes."""
+    from lintmill.operators.structure_rules import scope_ancestors
+
+    source = F.concat(F.repeat(F.lit("{let a;"), F.col("p_size")), F.repeat(F.lit("}"), F.col("p_size")))
+    scripts = _generated(spark, sf_dir, source).where(F.regexp_count("source", F.lit("let")) > 10)
+    t = parse_files(scripts, ("nodes", "scopes", "symbols", "refs"))
+    up = scope_ancestors(t.scopes)
+    return up.groupBy("path", "scope_id").agg(F.count("*").alias("n")).groupBy("path").agg(F.max("n").cast("int").alias("n"))
+
+
+@query(f"select {_PART} as path, 'a' as name, cast(count(*) as bigint) as uses from part, unnest(range(p_size % 5 + 1)) group by all")
+def refs_of_symbol(spark, sf_dir):
+    """JN-07, JN-11: references joined to their binding."""
+    source = F.concat(F.lit("let a = 1;"), F.repeat(F.lit("f(a);"), F.col("p_size") % 5 + 1))
+    t = parse_files(_generated(spark, sf_dir, source), ("nodes", "symbols", "refs"))
+    s = t.symbols.select("path", "symbol_id", F.col("name").alias("bound"))
+    return t.refs.where("not is_init").join(s, ["path", "symbol_id"]).groupBy("path", F.col("bound").alias("name")).agg(F.count("*").alias("uses"))
+
+
+@query(f"select {_PART} as path, 'x' || (p_size % 7) as name from part where p_size % 3 = 0")
+def unresolved_refs(spark, sf_dir):
+    """JN-08: names that no scope of the script binds."""
+    name = F.concat(F.lit("x"), (F.col("p_size") % 7).cast("string"))
+    source = F.concat(F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("let "), name, F.lit(" = 1; "))).otherwise(""), name, F.lit("++"))
+    t = parse_files(_generated(spark, sf_dir, source), ("nodes", "symbols", "refs"))
+    return t.refs.where("symbol_id is null").select("path", "name").distinct()
+
+
+def _lint_query(key: str, sql: str, rule: str, source, options: list = ()) -> None:
+    """A query that lints generated scripts by one rule and gives (path, n)."""
+
+    def run(spark, sf_dir):
+        found = lint(_generated(spark, sf_dir, source()), {"preset": False, "rules": {rule: [2, *options]}}, budget=0)
+        return found.where(F.col("rule") == rule).groupBy("path").agg(F.count("*").alias("n"))
+
+    QUERIES[key], SQL[key] = run, sql
+
+
+_lint_query("use_before_define", f"select {_PART} as path, cast(p_size % 4 as bigint) as n from part where p_size % 4 > 0", "no-use-before-define", lambda: F.concat(F.repeat(F.lit("f(a);"), F.col("p_size") % 4), F.lit("let a = 1; f(a)")))
+_lint_query("shadow_of_outer_names", f"select {_PART} as path, cast(p_size as bigint) as n from part", "no-shadow", lambda: F.concat(F.lit("let a;"), F.repeat(F.lit("{let a;"), F.col("p_size")), F.repeat(F.lit("}"), F.col("p_size"))))
+_lint_query("dup_keys_keep_first", f"select {_PART} as path, cast(p_size % 6 as bigint) as n from part where p_size % 6 > 0", "no-dupe-keys", lambda: F.concat(F.lit("x = {a: 0"), F.repeat(F.lit(", a: 1"), F.col("p_size") % 6), F.lit(", b: 2}")))
+_lint_query("sorted_keys_check", f"select {_PART} as path, cast(1 as bigint) as n from part where p_size % 2 = 1", "sort-keys", lambda: F.when(F.col("p_size") % 2 == 1, F.lit("x = {b: 1, a: 2, c: 3}")).otherwise("x = {a: 1, b: 2, c: 3}"))
+_lint_query("last_case_is_default", f"select {_PART} as path, cast(1 as bigint) as n from part where p_size % 5 > 0", "default-case-last", lambda: F.concat(F.lit("switch (a) { default: b();"), F.repeat(F.lit("case 1: c();"), F.col("p_size") % 5), F.lit("}")))
+_lint_query("default_params_right_to_left", f"select {_PART} as path, cast(p_size % 4 as bigint) as n from part where p_size % 4 > 0", "default-param-last", lambda: F.concat(F.lit("function f("), F.repeat(F.lit("b = 1, "), F.col("p_size") % 4), F.lit("c) {}")))
+_lint_query("type_only_imports", f"select {_PART} as path, cast(1 as bigint) as n from part where p_size % 2 = 0", "consistent-type-imports", lambda: F.concat(F.lit("import { A } from 'a'; let b: A;"), F.when(F.col("p_size") % 2 == 1, F.lit("new A()")).otherwise("")))
+_lint_query("max_classes_option", f"select {_PART} as path, cast(1 as bigint) as n from part where p_size % 5 > 2", "max-classes-per-file", lambda: F.concat(F.lit("a();"), F.repeat(F.lit("class A {}"), F.col("p_size") % 5)), [2])
+_lint_query("max_params_option", f"select {_PART} as path, cast(1 as bigint) as n from part where p_size % 6 > 4", "max-params", lambda: F.concat(F.lit("function f(z"), F.repeat(F.lit(", a"), F.col("p_size") % 6), F.lit(") {}")), [{"max": 5}])
+_lint_query("linebreaks_by_file", f"select {_PART} as path, cast(p_size % 3 as bigint) as n from part where p_size % 3 > 0", "linebreak-style", lambda: F.concat(F.lit("a()\n"), F.repeat(F.lit("b()\r\n"), F.col("p_size") % 3)))
+_lint_query("unreachable_loops", f"select {_PART} as path, cast(1 as bigint) as n from part where p_size % 2 = 0", "no-unreachable-loop", lambda: F.concat(F.lit("while (a) { b(); "), F.when(F.col("p_size") % 2 == 0, F.lit("break")).otherwise("if (c) break"), F.lit(" }")))
+_lint_query("switch_exhaustive", f"select {_PART} as path, cast(1 as bigint) as n from part where p_size % 3 < 2", "switch-exhaustiveness-check", lambda: F.concat(F.lit("declare const a: 'x' | 'y'; switch (a) { "), F.when(F.col("p_size") % 3 > 0, F.lit("case 'x': ")).otherwise(""), F.when(F.col("p_size") % 3 > 1, F.lit("case 'y': ")).otherwise(""), F.lit("}")))
+_lint_query("rule_text_past_160", f"select {_PART} as path, cast(1 as bigint) as n from part where p_size % 2 = 0", "no-self-compare", lambda: F.concat(F.repeat(F.lit("abcdefgh."), F.col("p_size") + 20), F.lit("a === "), F.repeat(F.lit("abcdefgh."), F.col("p_size") + 20), F.when(F.col("p_size") % 2 == 0, F.lit("a")).otherwise("b")))
+
+
+@query(f"select {_PART} as path, cast(least(p_size, 3) as bigint) as n from part")
+def error_budget(spark, sf_dir):
+    """RUN-08: at most three findings of a rule in a file."""
+    found = lint(_generated(spark, sf_dir, F.repeat(F.lit("var a;\n"), F.col("p_size"))), {"preset": False, "rules": {"no-var": 2}}, budget=3)
+    return found.groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query(f"select {_PART} as path, cast(p_size as bigint) as n, cast(8 * p_size - 1 as int) as last_start from part")
+def comments_in_range(spark, sf_dir):
+    """JN-14: comments inside a function, by an interval join of places."""
+    from lintmill.operators.places import comments_inside
+
+    source = F.concat(F.lit("() =>{"), F.repeat(F.lit(" /* c */"), F.col("p_size")), F.lit("}"))
+    t = parse_files(_generated(spark, sf_dir, source), ("nodes", "comments"))
+    found = comments_inside(t.nodes.where("type = 'ArrowFunctionExpression'"), t.comments)
+    return found.groupBy("path").agg(F.count("*").alias("n"), F.max("start").cast("int").alias("last_start"))
+
+
+@query(f"select {_PART} as path, 'no-var' as rule, cast(2 as int) as line from part where p_size % 2 = 1")
+def rule_ir_no_var(spark, sf_dir):
+    """UDF-05: a rule that is data, run by the engine with its suppression comments."""
+    from lintmill.operators import rule_ir
+    from lintmill.operators.tree_rules import RULES
+
+    name = rule_ir.register({"name": "no-var-as-data", "messages": {"m": "No var."}, "handlers": [{"selector": "VariableDeclaration", "body": [{"op": "if", "cond": {"op": "binary", "operator": "===", "left": {"op": "member", "object": {"op": "node-ref"}, "property": "kind"}, "right": {"op": "literal", "value": "var"}}, "then": [{"op": "report", "messageId": "m"}]}]}]})
+    try:
+        source = F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("// eslint-disable-next-line")).otherwise("// said nothing"), F.lit("\nvar a = 1"))
+        return lint(_generated(spark, sf_dir, source), {"preset": False, "rules": {name: 2}}).select("path", F.lit("no-var").alias("rule"), "line")
+    finally:
+        del RULES[name]
+
+
+@query(f"select {_PART} as path, cast(p_size % 3 as bigint) as errors from part where p_size % 3 > 0")
+def invalid_regexps(spark, sf_dir):
+    """FN-04: patterns read by the regular-expression reader."""
+    return _regexps(spark, sf_dir, "errors")
+
+
+def _regexps(spark, sf_dir, name):
+    source = F.concat(F.lit("a();"), F.repeat(F.lit("new RegExp('(');"), F.col("p_size") % 3))
+    found = lint(_generated(spark, sf_dir, source), {"preset": False, "rules": {"no-invalid-regexp": 2}})
+    return found.groupBy("path").agg(F.count("*").alias(name))
+
+
+_families()
