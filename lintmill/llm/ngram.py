@@ -221,13 +221,36 @@ def _split(p: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list
         yield int(p[a]), [c[a:b] for c in columns]
 
 
-def _flush(plan: Plan, g: int, texts: list[tuple]) -> list[dict]:
-    """Rows of one flush: its texts, their first tokens and the places after those, dealt by the word before."""
+def _flush(plan: Plan, g: int, texts: list[tuple], turn: int = 0, turns: int = 1) -> list[dict]:
+    """Rows of one flush: its texts and their first tokens at the first turn; the places after those, dealt by the word before, of the buckets whose turn it is."""
     rows: list[dict] = []
     lengths = np.array([len(t[2]) for t in texts])
     word = np.fromiter((x for t in texts for x in t[2]), dtype=np.int64, count=int(lengths.sum()))
     text = np.repeat(np.arange(len(texts)), lengths)
     at = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # at order 1 every token is its own start
+    start = at == 0 if plan.order > 1 else np.ones(len(at), dtype=bool)
+    if turn == 0:
+        rows += _text_rows(plan, g, texts, word, text)
+        rows += _unigrams(plan, g, text[start], word[start], np.zeros(int(start.sum())))
+    later = np.nonzero(~start)[0]
+    v = word[later - 1]
+    cold = (_mix(v) % np.uint64(plan.buckets)).astype(np.int64)
+    p = np.where((v > 0) & (v <= plan.hot), plan.buckets + (_mix(v, word[later]) % np.uint64(plan.hot_buckets)).astype(np.int64), cold)
+    due = p % turns == turn
+    later, p = later[due], p[due]
+    order = np.lexsort((word[np.maximum(later - 2, 0)], word[later], word[later - 1]))  # equal n-grams in a row, for the packing
+    later, p = later[order], p[order]
+    train = np.array([t[1] for t in texts], dtype=np.int64)[text[later]]
+    before = [np.where(at[later] >= k, word[np.maximum(later - k, 0)], 0) for k in range(1, plan.order)]
+    if len(later):
+        for bucket, columns in _split(p, [before[0], word[later], text[later] * 2 + train, *before[1:]]):
+            rows.append({"kind": PLACES, "p": bucket, "g": g, "body": _pack(columns)})
+    return rows
+
+
+def _text_rows(plan: Plan, g: int, texts: list[tuple], word: np.ndarray, text: np.ndarray) -> list[dict]:
+    rows: list[dict] = []
     head = np.bincount(text, word > 0, len(texts)).astype(np.int64).tolist()
     head_base = np.bincount(text, plan.base[np.maximum(word, 0)], len(texts)).tolist()
     for i, (doc_id, _, ids) in enumerate(texts):
@@ -236,19 +259,6 @@ def _flush(plan: Plan, g: int, texts: list[tuple]) -> list[dict]:
     if len(outside):
         number, first = _number(text[outside], _number(word[outside])[0])
         rows.append({"kind": RARE, "p": g % plan.buckets, "g": g, "body": _pack([word[outside][first], text[outside][first], np.bincount(number)])})
-    # at order 1 every token is its own start
-    start = at == 0 if plan.order > 1 else np.ones(len(at), dtype=bool)
-    rows += _unigrams(plan, g, text[start], word[start], np.zeros(int(start.sum())))
-    later = np.nonzero(~start)[0]
-    later = later[np.lexsort((word[np.maximum(later - 2, 0)], word[later], word[later - 1]))]  # equal n-grams in a row, for the packing
-    train = np.array([t[1] for t in texts], dtype=np.int64)[text[later]]
-    before = [np.where(at[later] >= k, word[np.maximum(later - k, 0)], 0) for k in range(1, plan.order)]
-    if len(later):
-        v = before[0]
-        cold = (_mix(v) % np.uint64(plan.buckets)).astype(np.int64)
-        p = np.where((v > 0) & (v <= plan.hot), plan.buckets + (_mix(v, word[later]) % np.uint64(plan.hot_buckets)).astype(np.int64), cold)
-        for bucket, columns in _split(p, [v, word[later], text[later] * 2 + train, *before[1:]]):
-            rows.append({"kind": PLACES, "p": bucket, "g": g, "body": _pack(columns)})
     return rows
 
 
@@ -269,9 +279,8 @@ def _emit_places(plan: Plan, turn: int, turns: int, batches: Iterator[pa.RecordB
     """The rows of all flushes: places of the buckets whose turn it is, the other kinds at the first turn."""
     get = plan.numbers.get
 
-    def due(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        rows = [r for r in rows if (r["p"] % turns == turn if r["kind"] == PLACES else turn == 0)]
-        return iter(pa.Table.from_pylist(rows, ROWS).to_batches(1000))
+    def packed() -> Iterator[pa.RecordBatch]:
+        return iter(pa.Table.from_pylist(_flush(plan, g, held, turn, turns), ROWS).to_batches(1000))
 
     held: list[tuple] = []
     g, size = 0, 0
@@ -284,10 +293,10 @@ def _emit_places(plan: Plan, turn: int, turns: int, batches: Iterator[pa.RecordB
                 held.append((doc_id, train, ids))
                 size += len(ids)
                 if size > min(plan.capacity, FLUSH):
-                    yield from due(_flush(plan, g, held))
+                    yield from packed()
                     held, size = [], 0
     if held:
-        yield from due(_flush(plan, g, held))
+        yield from packed()
 
 
 def _number(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
