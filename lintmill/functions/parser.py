@@ -165,6 +165,8 @@ class Parser:
             after = self.peek()
             if text == "let" and (after.kind in ("name",) or after.text in ("[", "{")):
                 return self.var_statement(start)
+            if text == "using" and after.kind == "name" and not after.after_newline and after.text not in ("of", "in", "instanceof"):
+                return self.var_statement(start)
             if text == "async" and after.text == "function" and not after.after_newline:
                 return self.function(start, declaration=True)
             if after.text == ":" and after.kind == "punct":
@@ -594,6 +596,7 @@ class Parser:
             flags.add(self.advance().text)
         is_async = generator = False
         kind = "method"
+        accessor = self.word("accessor") and self._is_modifier() and not self.peek().after_newline and bool(self.advance())
         if self.word("async") and self._is_modifier() and not self.peek().after_newline:
             self.advance()
             is_async = True
@@ -621,7 +624,7 @@ class Parser:
             common["typeAnnotation"] = self.type_annotation()
         value = self.assignment() if self.eat("=") else None
         self.semicolon()
-        return self.node("PropertyDefinition", start, value=value, **common)
+        return self.node("AccessorProperty" if accessor else "PropertyDefinition", start, value=value, **common)
 
     def property_key(self) -> tuple[Node, bool]:
         if self.eat("["):
@@ -1208,6 +1211,12 @@ class Parser:
                 return self.function_type(start, "TSFunctionType")
             except ScriptError:
                 self.reset(mark)
+        if self.word("asserts") and self.peek().kind in ("name", "keyword") and not self.peek().after_newline and self.peek().text not in ("is", "extends"):
+            self.advance()
+            name = self.type_()
+            if name["type"] == "TSTypePredicate":
+                return name | {"start": start, "asserts": True}
+            return self.node("TSTypePredicate", start, parameterName=name, typeAnnotation=None, asserts=True)
         t = self.union_type()
         if self.word("is") and not self.token.after_newline:
             self.advance()
@@ -1279,7 +1288,7 @@ class Parser:
             return self.node(TS_KEYWORDS[t.text], start)
         if self.is_("typeof"):
             self.advance()
-            name = self.entity()
+            name = self.simple_type() if self.is_("import") else self.entity()
             return self.node("TSTypeQuery", start, exprName=name)
         if self.is_("import"):
             self.advance()

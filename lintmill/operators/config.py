@@ -49,6 +49,24 @@ def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
     return hits.groupBy("path").agg(F.max_by("dir", order).alias("config_dir"), F.max_by("config", order).alias("config"))
 
 
+def legacy_chain(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """(path, rules): configurations of all folders above a file merged from the outermost in, beginning at the deepest that says it is the root.
+
+    ``configs(dir, root BOOLEAN, rules MAP<STRING,STRING>)``. An inner folder's word on a rule holds.
+    """
+    parts = F.split(F.regexp_replace("path", r"/?[^/]*$", ""), "/")
+    above = files.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda d: F.array_join(F.slice(parts, 1, d), "/"))).alias("dir")).distinct()
+    hits = above.join(configs.withColumn("said", F.lit(True)), "dir", "left")
+    chain = F.array_sort(F.collect_list(F.when(F.col("said"), F.struct(F.length("dir").alias("at"), F.coalesce("root", F.lit(False)).alias("root"), F.map_entries(F.coalesce("rules", F.create_map().cast("map<string,string>"))).alias("e")))))
+    empty = F.create_map().cast("map<string,string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.map_from_entries(x["e"])
+        return F.when(x["root"], new).otherwise(F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(new, k)), new))
+
+    return hits.groupBy("path").agg(F.aggregate(chain, empty, step).alias("rules"))
+
+
 def merge_flat(files: DataFrame, entries: DataFrame) -> DataFrame:
     """(path, rules): entries whose regex matches a path, merged so that later ones win.
 

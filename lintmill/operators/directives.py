@@ -16,6 +16,20 @@ def directives(comments: DataFrame) -> DataFrame:
     return said.select("path", "kind", F.when(F.col("kind") == "disable-next-line", F.col("end_line") + 1).otherwise(F.col("line")).alias("line"), "start", each.alias("rule"))
 
 
+#: ``/* global a, b:writable */``; what follows ``--`` is a remark.
+GLOBALS_PATTERN = r"^\s*globals?\s+([\s\S]*?)(?:\s--[\s\S]*)?$"
+
+
+def global_comments(comments: DataFrame) -> DataFrame:
+    """(path, name, known): names that block comments declare as globals; ``known`` is false for those set to off. The last word on a name holds."""
+    said = comments.where(~F.lower("kind").startswith("line") & F.col("text").rlike(GLOBALS_PATTERN))
+    listed = F.regexp_replace(F.regexp_extract("text", GLOBALS_PATTERN, 1), r"\s*:\s*", ":")
+    each = said.select("path", "start", F.posexplode(F.split(listed, r"[,\s]+")).alias("at", "entry")).where("entry != ''")
+    parts = F.split("entry", ":")
+    named = each.select("path", "start", "at", parts[0].alias("name"), (F.coalesce(F.get(parts, F.lit(1)), F.lit("")) != "off").alias("known"))
+    return named.groupBy("path", "name").agg(F.max_by("known", F.struct("start", "at")).alias("known"))
+
+
 def suppress(diagnostics: DataFrame, said: DataFrame) -> DataFrame:
     """``diagnostics`` without those that a directive covers.
 

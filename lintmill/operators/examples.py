@@ -13,6 +13,7 @@ EXAMPLES: dict[str, tuple[str, str]] = {
     "vars-on-top": ("a(); var b", "var b; a()"), "block-scoped-var": ("function f() { if (a) { var b = 1 } c(b) }", "function f() { if (a) { var b = 1; c(b) } }"), "class-methods-use-this": ("class A { b() { c() } }", "class A { b() { this.c() } }"), "func-name-matching": ("let a = function b() {}", "let a = function a() {}"),
     "max-lines-per-function": ("function f() {" + "\na()" * 60 + "}", "function f() { a() }"), "max-nested-callbacks": ("a(() => " * 11 + "b" + ")" * 11, "a(() => b)"), "no-implicit-globals": ("var a = 1", "let a = 1"), "no-invalid-this": ("function f() { this.a }", "class A { f() { this.a } }"), "no-magic-numbers": ("a(42)", "const b = 42; a(b)"),
     "no-useless-escape": (r"'\d'", r"'\n'"), "one-var": ("let a; let b", "let a, b"), "prefer-arrow-callback": ("a(function () { return b })", "a(() => b)"), "prefer-destructuring": ("let a = b.a", "let { a } = b"), "prefer-named-capture-group": ("/(a)/", "/(?<b>a)/"), "sort-imports": ("import b from 'b'; import a from 'a'", "import a from 'a'; import b from 'b'"),
+    "early-errors": ("const a", "const a = 1"),
     "strict": ("function f() { a() }", "function f() { 'use strict'; a() }"), "prefer-promise-reject-errors": ("Promise.reject('a')", "Promise.reject(new Error('a'))"),
     # typescript
     "class-literal-property-style": ("class A { get b() { return 1 } }", "class A { readonly b = 1 }"), "consistent-generic-constructors": ("let a: Map<string, number> = new Map()", "let a = new Map<string, number>()"), "consistent-type-imports": ("import { A } from 'a'; let b: A", "import type { A } from 'a'; let b: A"),

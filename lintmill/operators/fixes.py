@@ -24,6 +24,39 @@ FIXES: dict[str, tuple[str, str, str]] = {
 }
 
 
+class Fixer:
+    """Verbs that make a fix (start, end, text) of a node or token, a dict with ``start`` and ``end``."""
+
+    def remove(self, node: dict) -> tuple[int, int, str]:
+        return node["start"], node["end"], ""
+
+    def remove_range(self, start: int, end: int) -> tuple[int, int, str]:
+        return start, end, ""
+
+    def replace_text(self, node: dict, text: str) -> tuple[int, int, str]:
+        return node["start"], node["end"], text
+
+    def replace_text_range(self, start: int, end: int, text: str) -> tuple[int, int, str]:
+        return start, end, text
+
+    def insert_before(self, node: dict, text: str) -> tuple[int, int, str]:
+        return node["start"], node["start"], text
+
+    def insert_after(self, node: dict, text: str) -> tuple[int, int, str]:
+        return node["end"], node["end"], text
+
+
+def merge(source: str, parts: list[tuple[int, int, str]]) -> tuple[int, int, str] | None:
+    """One fix of a report's parts in order of place, the text between them kept; None if there are none or two of them overlap."""
+    parts = sorted(parts)
+    if not parts or any(b[0] < a[1] for a, b in zip(parts, parts[1:], strict=False)):
+        return None
+    text = parts[0][2]
+    for a, b in zip(parts, parts[1:], strict=False):
+        text += source[a[1] : b[0]] + b[2]
+    return parts[0][0], parts[-1][1], text
+
+
 def with_fixes(diagnostics: DataFrame) -> DataFrame:
     """Adds ``fix``, a struct (start, end, text) in code points of the source; null where a rule has none."""
     arms = [f"when '{name}' then named_struct('start', cast({start} as int), 'end', cast({end} as int), 'text', {text})" for name, (start, end, text) in FIXES.items()]

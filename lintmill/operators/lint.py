@@ -112,7 +112,7 @@ def lint(files: DataFrame, config: dict | None = None, *, budget: int = BUDGET)
     levels = severities(config)
     names = list(levels)
     t = parse_files(files, needed(names), inspect=inspector(names, options(config)))
-    return diagnose(Tables(keep(t.parsed)), levels, budget=budget)
+    return diagnose(Tables(keep(t.parsed), structure_rules.known_globals(config)), levels, budget=budget)
 
 
 def lint_source(spark, source: str, filename: str = "source.js", config: dict | None = None) -> DataFrame:
@@ -121,6 +121,12 @@ def lint_source(spark, source: str, filename: str = "source.js", config: dict |
     return lint(in_memory(spark, {filename: source}), config)
 
 
+def fix_preview(files: DataFrame, config: dict | None = None, passes: int = 10) -> DataFrame:
+    """(path, before, after) of the files that ``fix`` would change; nothing is written back."""
+    after = fix(files, config, passes).select("path", F.col("source").alias("after"))
+    return files.select("path", F.col("source").alias("before")).join(after, "path").where("before != after")
+
+
 def fix(files: DataFrame, config: dict | None = None, passes: int = 10) -> DataFrame:
     """``files`` with all fixes of the enabled rules, to a fixpoint."""
     from lintmill.operators.fixes import fix_all

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from lintmill.functions.parser import parse
 from lintmill.functions.relations import Rows
 from lintmill.operators import node_rules
+from lintmill.operators.fixes import Fixer, merge
 
 #: Condition operators of JSON rules: SQL over the attribute's text.
 CONDITIONS = {
@@ -68,14 +69,16 @@ class Context:
     """What a visitor sees: the file, its text, ancestors of the node at hand, and ``report``."""
 
     def __init__(self, path: str, source: str, options: list) -> None:
-        self.path, self.source, self.options = path, source, options
+        self.path, self.source, self.options, self.fixer = path, source, options, Fixer()
         self.ancestors: list[dict] = []
         self.reports: list[tuple] = []
 
     def text(self, node: dict) -> str:
         return self.source[node["start"] : node["end"]]
 
-    def report(self, node: dict, message: str, fix: tuple[int, int, str] | None = None) -> None:
+    def report(self, node: dict, message: str, fix: tuple[int, int, str] | list[tuple[int, int, str]] | None = None) -> None:
+        """``fix`` is one fix or the parts of one, as ``fixer`` makes them."""
+        fix = merge(self.source, fix) if isinstance(fix, list) else fix
         self.reports.append((node["start"], node["end"], message, fix))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,18 @@ def by_rule(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
 
 
+def utf16(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
+    """``diagnostics`` with ``start``, ``end`` and ``col`` in UTF-16 units, as editors count, instead of code points."""
+    text = files.select("path", F.col("source").alias("u_source"))
+
+    def wide(begin: Column, end: Column) -> Column:
+        return F.length(F.regexp_replace(F.substring(F.col("u_source"), begin + 1, end - begin), r"[^\x{10000}-\x{10FFFF}]", ""))
+
+    zero, start, end = F.lit(0), F.col("start"), F.col("end")
+    moved = {"start": start + wide(zero, start), "end": end + wide(zero, end), "col": F.col("col") + F.when(start.isNull(), 0).otherwise(wide(start - F.col("col"), start))}
+    return diagnostics.join(text, "path", "left").withColumns(moved).select(*diagnostics.columns)
+
+
 def exit_code(diagnostics: DataFrame, any_severity: bool = False) -> int:
     """1 if there is an error (or, with ``any_severity``, any diagnostic), else 0."""
     hits = diagnostics if any_severity else diagnostics.where("severity = 2")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lintmill.operators.directives import global_comments
 from lintmill.operators.selectors import FUNCTIONS, attribute, select
 from lintmill.plans.parsed import Tables
 from lintmill.plans.parsed import keep as kept
@@ -24,6 +25,36 @@ GLOBALS = (
     "Array ArrayBuffer Atomics BigInt BigInt64Array BigUint64Array Boolean DataView Date Error EvalError Float32Array Float64Array Function Infinity Int16Array Int32Array Int8Array Intl JSON Map Math NaN Number Object Promise Proxy RangeError ReferenceError Reflect RegExp Set SharedArrayBuffer String Symbol SyntaxError TypeError URIError Uint16Array Uint32Array Uint8Array Uint8ClampedArray WeakMap WeakRef WeakSet AggregateError FinalizationRegistry "
     "decodeURI decodeURIComponent encodeURI encodeURIComponent escape eval globalThis isFinite isNaN parseFloat parseInt undefined unescape arguments"
 ).split()
+# Names that came with a version of the language, names that an environment adds.
+SINCE = {
+    2015: "Map Set WeakMap WeakSet Promise Proxy Reflect Symbol ArrayBuffer DataView Float32Array Float64Array Int8Array Int16Array Int32Array Uint8Array Uint16Array Uint32Array Uint8ClampedArray".split(),
+    2017: ["Atomics", "SharedArrayBuffer"],
+    2020: ["BigInt", "BigInt64Array", "BigUint64Array", "globalThis"],
+    2021: ["AggregateError", "FinalizationRegistry", "WeakRef"],
+}
+ENVIRONMENTS = {
+    "browser": "window document navigator location history console fetch localStorage sessionStorage setTimeout clearTimeout setInterval clearInterval alert confirm prompt URL URLSearchParams Event EventTarget CustomEvent HTMLElement Element Node XMLHttpRequest WebSocket Worker Blob File FormData Headers Request Response AbortController AbortSignal TextEncoder TextDecoder requestAnimationFrame cancelAnimationFrame queueMicrotask structuredClone performance crypto self".split(),
+    "node": "process Buffer global console require module exports __dirname __filename setTimeout clearTimeout setInterval clearInterval setImmediate clearImmediate queueMicrotask structuredClone fetch URL URLSearchParams TextEncoder TextDecoder AbortController AbortSignal performance".split(),
+    "commonjs": "require module exports".split(),
+    "worker": "self postMessage importScripts onmessage console fetch setTimeout clearTimeout setInterval clearInterval".split(),
+    "jest": "describe it test expect beforeAll beforeEach afterAll afterEach jest".split(),
+    "mocha": "describe it before beforeEach after afterEach".split(),
+}
+
+
+def known_globals(config: dict | None = None) -> list[str]:
+    """Built-in names of ``ecmaVersion`` (6 and 2015 are the same; all by default), and of each ``env``, and ``globals``, less those set to off."""
+    config = config or {}
+    version = config.get("ecmaVersion", "latest")
+    year = 9999 if not isinstance(version, int) else version if version >= 2015 else version + 2009
+    found = set(GLOBALS) - {n for since, names in SINCE.items() if since > year for n in names}
+    for name, on in config.get("env", {}).items():
+        found |= set(ENVIRONMENTS.get(name, ())) if on else set()
+    for name, value in config.get("globals", {}).items():
+        found = found - {name} if value == "off" else found | {name}
+    return sorted(found)
+
+
 READ_ONLY = [g for g in GLOBALS if g != "arguments"]
 RESTRICTED = ("undefined", "NaN", "Infinity", "arguments", "eval")
 LOOPS = ("ForStatement", "ForInStatement", "ForOfStatement", "WhileStatement", "DoWhileStatement")
@@ -58,7 +89,8 @@ def _writes(t: Tables, *kinds: str) -> DataFrame:
 @rule("no-undef", "correctness", "'{{name}}' is not defined.")
 def no_undef(t: Tables) -> DataFrame:
     typeof = select(t.nodes, 'UnaryExpression[operator="typeof"] > Identifier').select("path", "node_id")
-    return t.refs.where(F.col("symbol_id").isNull() & ~F.col("name").isin(*GLOBALS)).join(typeof, ["path", "node_id"], "left_anti")
+    free = t.refs.where(F.col("symbol_id").isNull()).join(typeof, ["path", "node_id"], "left_anti")
+    return free.join(global_comments(t.comments), ["path", "name"], "left").where(~F.coalesce("known", F.col("name").isin(*(t.globals if t.globals is not None else GLOBALS)))).drop("known")
 
 
 @rule("no-unused-vars", "correctness", "'{{name}}' is defined but never used.")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+from lintmill.functions.early import early
 from lintmill.functions.regexes import analyse
 from lintmill.functions.tree import CLASSES, FUNCTIONS, LOOPS, NEXT, PRIMITIVES, RETURN, File, Types, call_of, leaves, name_of, options_of, plain, sequence, static, truth
 
@@ -1641,3 +1642,8 @@ def _(f, n, o):
     if (o["mode"] == "smart" and (null or typeof or alike)) or (null and (o["null"] == "ignore" or o["mode"] == "allow-null")):
         return
     yield n, {"expected": n["operator"] + "=", "operator": n["operator"]}
+
+
+@rule("early-errors", "syntax", "{{why}}.", "Program")
+def _(f, n, o):
+    yield from ((node, {"why": why}) for node, why in early(f))

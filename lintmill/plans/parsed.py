@@ -108,6 +108,7 @@ class Tables:
     """The relations of a set of files; each is ``path`` with its columns."""
 
     parsed: DataFrame
+    globals: list[str] | None = None  # names no-undef knows; None for the built-in ones
 
     def _relation(self, name: str) -> DataFrame:
         return self.parsed.select("path", F.explode(name).alias("r")).select("path", "r.*")

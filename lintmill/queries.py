@@ -496,4 +496,40 @@ def _regexps(spark, sf_dir, name):
     return found.groupBy("path").agg(F.count("*").alias(name))
 
 
+@query(f"select {_PART} as path, 'Identifier ''a'' has already been declared.' as message from part where p_size % 3 = 0 union all select {_PART}, 'Illegal break statement.' from part where p_size % 3 = 1")
+def early_errors(spark, sf_dir):
+    """Early errors of scripts that declare a name twice, that jump out of nothing, and of sound ones."""
+    size = F.col("p_size") % 3
+    source = F.when(size == 0, F.lit("let a = 1; { let a = 2 } let a = 3")).when(size == 1, F.lit("while (a) { break } break")).otherwise(F.lit("let a = 1; a: for (;;) { break a }"))
+    return lint(_generated(spark, sf_dir, source), {"preset": False, "rules": {"early-errors": 2}}).select("path", "message")
+
+
+@query(f"select {_PART} as path, 'b' as name from part where p_size % 4 in (0, 2) union all select {_PART}, 'Map' from part where p_size % 4 = 3")
+def global_comments(spark, sf_dir):
+    """Names that a comment of the file declares or takes away, and names of an environment."""
+    size = F.col("p_size") % 4
+    head = F.when(size == 0, F.lit("")).when(size == 1, F.lit("/* global b, c */")).when(size == 2, F.lit("// global b")).otherwise(F.lit("/* globals b:writable, Map:off -- old */"))
+    source = F.concat(head, F.lit("\nb; Map; window"))
+    found = lint(_generated(spark, sf_dir, source), {"preset": False, "rules": {"no-undef": 2}, "env": {"browser": True}})
+    return found.select("path", F.regexp_extract("message", "'([^']*)'", 1).alias("name"))
+
+
+@query(f"select {_PART} as path, cast(3 + 3 * (p_size % 5) as int) as \"start\", cast(8 + 3 * (p_size % 5) as int) as \"end\", cast(3 + 3 * (p_size % 5) as int) as col from part")
+def places_in_utf16(spark, sf_dir):
+    """Places counted as editors count them: one character beyond the first plane is two units."""
+    from lintmill.operators.report import utf16
+
+    scripts = _generated(spark, sf_dir, F.concat(F.lit("'"), F.repeat(F.lit("\U0001f44d\u00e9"), F.col("p_size") % 5), F.lit("';var a")))
+    return utf16(lint(scripts, {"preset": False, "rules": {"no-var": 2}}), scripts).select("path", "start", "end", "col")
+
+
+@query(f"select {_PART} as path, 'var a = ' || p_size as before, 'let a = ' || p_size as after from part where p_size % 2 = 0")
+def fix_preview(spark, sf_dir):
+    """What fixes would change, with nothing written."""
+    from lintmill.operators.lint import fix_preview as preview
+
+    source = F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("var")).otherwise(F.lit("let")), F.lit(" a = "), F.col("p_size").cast("string"))
+    return preview(_generated(spark, sf_dir, source), {"preset": False, "rules": {"no-var": 2}})
+
+
 _families()
