@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.llm.common import pieces as slices
@@ -107,6 +107,18 @@ def cut_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return text, start - offsets[text], stop - start, key, times > 1
 
 
+def _all_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every piece of every text, named by the digest of its bytes."""
+    for batch in batches:
+        for part in slices(batch, "text", CHUNK):
+            texts = utf8(part.column("text"))
+            text, start, count, _, _ = cut_pieces(texts)
+            names = [xxhash.xxh3_128_hexdigest(texts[t][a : a + c + LENGTH - 1]) for t, a, c in zip(text.tolist(), start.tolist(), count.tolist(), strict=True)]
+            r1, r2 = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("r1", "r2"))
+            columns = [pa.array(x, pa.int64()) for x in (r1, r2, start, count + LENGTH - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], ["name", "r1", "r2", "piece", "long"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
@@ -152,8 +164,8 @@ def _judged(kind: int, key: np.ndarray, r1: np.ndarray, r2: np.ndarray, meta: np
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key), pa.array(r1), pa.array(r2), pa.array(meta)], ["kind", "key", "r1", "r2", "meta"])
 
 
-def _judge(hot: int):
-    """For rows in order of key and digest: whole pieces that repeat, and pieces to compare."""
+def _judge(hot: int, pairs: bool = False):
+    """For rows in order of key and digest: whole pieces that repeat, and pieces to compare; with ``pairs`` also those that only repeat themselves within."""
 
     def decide(key, digest, r1, r2, meta) -> Iterator[pa.RecordBatch]:
         if not len(key):
@@ -166,7 +178,7 @@ def _judge(hot: int):
         repeated = (np.bincount(kind)[kind] > 1) | (np.bincount(kind, (meta & _MANY) > 0)[kind] > 0)
         differ = np.bincount(group, new)[group] > 1
         yield _judged(_SPAN, key[repeated], r1[repeated], r2[repeated], meta[repeated])
-        compare = new & (differ | (~repeated & ((meta & _SELF) > 0)))
+        compare = new & (differ | ((pairs | ~repeated) & ((meta & _SELF) > 0)))
         asks = np.where(repeated, 0, _SELF)
         yield _judged(_CONTEXT, key[compare], r1[compare], r2[compare], (meta[compare] & ~0xFF) | asks[compare])
 
@@ -228,7 +240,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 for a in range(start, start + count):
                     d = hashlib.blake2b(text[a : a + LENGTH], digest_size=16).digest()
-                    out.append((kind, int.from_bytes(d[:8], "little", signed=True), r1, r2, a << 16, d))
+                    out.append((kind, int.from_bytes(d[:8], "little", signed=True), r1, r2, (a << 16) | (a - start), d))
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "key", "r1", "r2", "meta", "data"])
 
@@ -261,10 +273,38 @@ def _array_spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     yield _spans(r1[row], r2[row], (meta[row] >> 16) + start - offsets[row], reach[last] - start)
 
 
+_PLACES = "repeat string, r1 long, r2 long, piece long, offset long, size long"
+
+
+def _array_groups(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Places of all maximal repeats of ``rows`` in their pieces; a repeat is named by the digest of its bytes."""
+    if not rows:
+        return
+    order, groups, owner, offsets = maximal_repeats([r[3] for r in rows], LENGTH)
+    r1, r2, meta = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+    for length, first, last in groups:
+        at = order[first : last + 1]
+        row = owner[at]
+        offset = at - offsets[row]
+        string = rows[int(row[0])][3][int(offset[0]) : int(offset[0]) + length]
+        name = pa.array([xxhash.xxh3_128_hexdigest(string)] * len(at))
+        columns = [pa.array(x) for x in (r1[row], r2[row], meta[row] >> 16, offset, np.full(len(at), length, dtype=np.int64))]
+        yield pa.RecordBatch.from_arrays([name, *columns], ["repeat", "r1", "r2", "piece", "offset", "size"])
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of kind, key and data: suffix arrays over whole keys, and equal strings of hot keys."""
+    return _by_key(batches, _array_spans, lambda rows: _spans(*(np.array(x) for x in zip(*((r1, r2, meta >> 16, LENGTH) for r1, r2, meta in rows), strict=True))))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Like ``_repeats`` over pieces to compare, with every repeat apart."""
+    return _by_key(batches, _array_groups, None)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], array, strings) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-    size, ready = 0, 0  # the first ``ready`` rows are whole keys
+    size = 0
     last_key = None
     string, waiting, seen = None, None, False
     for batch in batches:
@@ -281,59 +321,65 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if key != last_key:
                 if size > BLOCK:
-                    yield from _array_spans(held)
+                    yield from array(held)
                     held, size = [], 0
                 last_key = key
             held.append((r1, r2, meta, data))
             size += len(data)
-        if equal:
-            a = np.array(equal, dtype=np.int64)
-            yield _spans(a[:, 0], a[:, 1], a[:, 2] >> 16, np.full(len(a), LENGTH))
-    yield from _array_spans(held)
+        if equal and strings is not None:
+            yield strings(equal)
+    yield from array(held)
+
+
+_KEPT = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a text come after it: merges its spans and gives the figures of what is left."""
+    """Rows of a text come after it: merges its spans and gives them with the bytes that are left."""
     name, packed = None, b""
     starts: list[np.ndarray] = []
     out: list[tuple] = []
+    size = 0
 
-    def finish() -> None:
+    def finish() -> int:
         if name is None:
-            return
+            return 0
         text = zlib.decompress(packed)
         spans = np.concatenate(starts) if starts else np.zeros((0, 2), dtype=np.int64)
-        kept, removed, runs, at = hashlib.sha256(), 0, 0, 0
+        begins = ends = np.zeros(0, dtype=np.int64)
         if len(spans):
             spans = spans[np.argsort(spans[:, 0], kind="stable")]
             reach = np.maximum.accumulate(spans[:, 0] + spans[:, 1])
             new = np.concatenate(([True], spans[1:, 0] > reach[:-1]))
-            ends = reach[np.append(np.nonzero(new)[0][1:] - 1, len(reach) - 1)]
-            for a, b in zip(spans[new, 0].tolist(), ends.tolist(), strict=True):
-                kept.update(text[at:a])
-                removed, runs, at = removed + b - a, runs + 1, b
-        kept.update(text[at:])
-        out.append((*name, removed, runs, kept.hexdigest()))
+            begins, ends = spans[new, 0], reach[np.append(np.nonzero(new)[0][1:] - 1, len(reach) - 1)]
+        kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(text)], strict=True))
+        out.append((*name, kept, begins, ends - begins))
+        return len(kept)
 
     def flush() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        r1, r2, kept, begins, sizes = zip(*out, strict=True) if out else [()] * 5
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 4 else pa.int64()) for i, c in enumerate(columns)], ["r1", "r2", "n_removed", "n_spans", "kept_sha256"])
+        edges = pa.array(np.cumsum([0, *map(len, begins)]), pa.int32())
+        parts = [pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64()) for x in (begins, sizes)]
+        spans = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(parts, ["start", "size"]))
+        return pa.RecordBatch.from_arrays([pa.array(r1, pa.int64()), pa.array(r2, pa.int64()), pa.array(kept, pa.binary()), spans], schema=_KEPT)
 
     for batch in batches:
-        r1, r2, start, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("r1", "r2", "start", "size"))
+        r1, r2, start, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("r1", "r2", "start", "size"))
         z = batch.column("z")
         new = np.ones(len(r1), dtype=bool)
         new[1:] = (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])
         begins = np.nonzero(new)[0].tolist()
         for a, b in zip(begins, [*begins[1:], len(r1)], strict=True):
             if name != (int(r1[a]), int(r2[a])):
-                finish()
+                size += finish()
                 name, packed, starts = (int(r1[a]), int(r2[a])), z[a].as_py(), []
-            spans = size[a:b] > 0
+                if size > CHUNK:
+                    yield flush()
+                    size = 0
+            spans = length[a:b] > 0
             if spans.any():
-                starts.append(np.stack([start[a:b][spans], size[a:b][spans]], axis=1))
-        yield flush()
+                starts.append(np.stack([start[a:b][spans], length[a:b][spans]], axis=1))
     finish()
     yield flush()
 
@@ -357,25 +403,86 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def remove_repeats(docs: DataFrame, hot: int = 1500) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def _named(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.select("doc_id", text.alias("text")).withColumn("r1", F.xxhash64("text")).withColumn("r2", F.xxhash64(F.lit(7), "text"))
-    body = named.select("r1", "r2", "text")
+    return docs.select("doc_id", text.alias("text")).withColumn("r1", F.xxhash64("text")).withColumn("r2", F.xxhash64(F.lit(7), "text"))
+
+
+def _met(body: DataFrame, hot: int, pairs: bool = False) -> DataFrame:
+    """Pieces that have met by key: those that repeat whole, and those to compare."""
     found = body.mapInArrow(_scan, "key long, digest long, r1 long, r2 long, meta long")
-    met = found.repartition("key").sortWithinPartitions("key", "digest")
-    judged = _written(met.mapInArrow(_judge(hot), "kind int, key long, r1 long, r2 long, meta long"), "judged")
+    return _written(found.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_judge(hot, pairs), "kind int, key long, r1 long, r2 long, meta long"), "judged")
 
-    packed = body.mapInArrow(_packed, "r1 long, r2 long, z binary")
+
+def _compared(packed: DataFrame, judged: DataFrame) -> DataFrame:
+    """Bytes of the pieces to compare."""
     asks = judged.where(f"kind <> {_SPAN}").select("r1", "r2", "kind", "key", "meta", F.lit(None).cast("binary").alias("z"))
     wanted = packed.select("r1", "r2", F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("meta"), "z").unionByName(asks)
-    contexts = wanted.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "kind").mapInArrow(_contexts, "kind int, key long, r1 long, r2 long, meta long, data binary")
-    more = contexts.repartition("key").sortWithinPartitions("kind", "key", "data").mapInArrow(_repeats, "r1 long, r2 long, start long, size long")
+    return wanted.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "kind").mapInArrow(_contexts, "kind int, key long, r1 long, r2 long, meta long, data binary")
+
+
+def _keys_together(compared: DataFrame) -> DataFrame:
+    return compared.repartition("key").sortWithinPartitions("kind", "key", "data")
+
+
+def _start() -> Column:
+    return F.shiftright("meta", 16)
+
+
+def _size() -> Column:
+    return (F.shiftright("meta", 8).bitwiseAND(F.lit(0xFF)) + LENGTH).cast("long")
 
-    whole = judged.where(f"kind = {_SPAN}").select("r1", "r2", F.shiftright("meta", 16).alias("start"), (F.shiftright("meta", 8).bitwiseAND(F.lit(0xFF)) + LENGTH).cast("long").alias("size"))
+
+def _kept(named: DataFrame, hot: int) -> DataFrame:
+    """Per distinct text: r1, r2, kept, spans."""
+    body = named.select("r1", "r2", "text")
+    judged = _met(body, hot)
+    packed = body.mapInArrow(_packed, "r1 long, r2 long, z binary")
+    more = _keys_together(_compared(packed, judged)).mapInArrow(_repeats, "r1 long, r2 long, start long, size long")
+    whole = judged.where(f"kind = {_SPAN}").select("r1", "r2", _start().alias("start"), _size().alias("size"))
     nothing = F.lit(None).cast("binary").alias("z")
     parts = packed.select("r1", "r2", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("size"), "z").unionByName(whole.select("*", nothing)).unionByName(more.select("*", nothing))
-    figures = parts.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "size").mapInArrow(_removed, "r1 long, r2 long, n_removed long, n_spans long, kept_sha256 string")
-    figures = _written(figures, "figures").withColumnsRenamed({"r1": "f1", "r2": "f2"})
+    return parts.repartition("r1", "r2").sortWithinPartitions("r1", "r2", "size").mapInArrow(_removed, "r1 long, r2 long, kept binary, spans array<struct<start: long, size: long>>")
+
+
+def _per_document(rows: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.withColumnsRenamed({"r1": "f1", "r2": "f2"})
+    return rows.join(found, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2"))).drop("r1", "r2", "f1", "f2")
+
+
+def clean(docs: DataFrame, hot: int = 1500) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, kept (the remaining bytes; a cut may part a character's), spans (removed runs as start and size in bytes)."""
+    named = _named(docs)
+    return _per_document(named.select("doc_id", "r1", "r2"), _written(_kept(named, hot), "kept"))
+
+
+def remove_repeats(docs: DataFrame, hot: int = 1500) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, taken from the kept bytes and spans of ``clean``."""
+    named = _named(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["size"])
+    figures = _kept(named, hot).select("r1", "r2", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     rows = named.select("doc_id", "r1", "r2", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(figures, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _per_document(rows, _written(figures, "figures")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def repeat_groups(docs: DataFrame, hot: int = 1500) -> DataFrame:
+    """All occurrences of repeated strings: repeat (names the string), doc_id, start, size in bytes; copies of a document count.
+
+    Groups are the pieces that repeat whole and the maximal repeats among pieces of one key that differ or hold it twice.
+    A repeat longer than a piece is given as the groups of its pieces, one after another; keys with more than ``hot`` pieces
+    give their strings of ``LENGTH`` bytes, named apart from the others. Any two places of an equal string of ``LENGTH`` bytes
+    are in a group at the same distance from its start. Rows are as many as occurrences, so nested repeats of one long text show often.
+    """
+    named = _named(docs)
+    texts = named.select("r1", "r2", "text").dropDuplicates(["r1", "r2"])
+    pieces = _written(texts.mapInArrow(_all_pieces, "name string, r1 long, r2 long, piece long, long long"), "pieces")
+    data = _written(_compared(texts.mapInArrow(_packed, "r1 long, r2 long, z binary"), _met(texts, hot, pairs=True)), "compared")
+    strings = data.where(f"kind = {_HOT}").select(F.lower(F.hex("data")).alias("repeat"), "r1", "r2", (_start() - F.col("meta").bitwiseAND(F.lit(0xFF))).alias("piece"), F.col("meta").bitwiseAND(F.lit(0xFF)).alias("offset"), F.lit(LENGTH).cast("long").alias("size"))
+    among = _keys_together(data.where(f"kind = {_CONTEXT}")).mapInArrow(_groups, _PLACES)
+    # one of equal pieces went through the array; what holds for it holds for all
+    asked = among.unionByName(strings).join(pieces, ["r1", "r2", "piece"]).select("repeat", "name", "offset", "size").distinct()
+    inside = asked.join(pieces, "name").select("repeat", "r1", "r2", (F.col("piece") + F.col("offset")).alias("start"), "size")
+    whole = pieces.select(F.col("name").alias("repeat"), "r1", "r2", F.col("piece").alias("start"), F.col("long").alias("size"))
+    found = _per_document(named.select("doc_id", "r1", "r2"), inside.unionByName(whole).distinct())
+    often = found.groupBy(F.col("repeat").alias("known")).count().where("count > 1").select("known")
+    return found.join(often, F.col("repeat") == F.col("known")).select("repeat", "doc_id", "start", "size")

@@ -498,3 +498,45 @@ def test_pipeline(spark, tmp_path):
     assert seen["secrets"][202].endswith("password=[SECRET]")
     assert "copy" in docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_repeat_groups_and_kept_bytes(spark):
+    rng = random.Random(12)
+
+    def prose(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    shared, period = prose(700), "tick tock, " * 40
+    texts = [prose(150) + shared + prose(90), shared[100:450] + prose(260), prose(40) + shared[300:] + prose(30), period, prose(20) + period + prose(20), prose(500), "", None]
+    texts.append(texts[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [(t or "").encode() for t in texts]
+    places = {}
+    for k, t in enumerate(raw):
+        for a in range(len(t) - 199):
+            places.setdefault(t[a : a + 200], []).append((k, a))
+    for hot in (1500, 1):
+        cleaned = {r["doc_id"]: r for r in substrings.clean(docs, hot).collect()}
+        figures = {r["doc_id"]: r for r in substrings.remove_repeats(docs, hot).collect()}
+        groups = {}
+        for r in substrings.repeat_groups(docs, hot).collect():
+            groups.setdefault((r["repeat"], r["size"]), set()).add((r["doc_id"], r["start"]))
+        cover = [bytearray(len(t)) for t in raw]
+        starts = {}
+        for g, ((_, size), found) in enumerate(groups.items()):
+            assert len(found) > 1 and size >= 200
+            assert len({raw[k][a : a + size] for k, a in found}) == 1
+            for k, a in found:
+                cover[k][a : a + size] = b"\1" * size
+                for d in range(size - 199):
+                    starts.setdefault((k, a + d), set()).add((g, d))
+        for k, t in enumerate(raw):
+            kept = bytes(b for b, c in zip(t, cover[k]) if not c)
+            assert bytes(cleaned[k]["kept"]) == kept
+            assert sum(s["size"] for s in cleaned[k]["spans"]) == figures[k]["n_removed"] == len(t) - len(kept)
+            assert figures[k]["n_spans"] == len(cleaned[k]["spans"])
+            assert figures[k]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+        for same in places.values():
+            for one in same:
+                for other in same:
+                    assert one == other or starts[one] & starts[other]
