@@ -532,4 +532,17 @@ def fix_preview(spark, sf_dir):
     return preview(_generated(spark, sf_dir, source), {"preset": False, "rules": {"no-var": 2}})
 
 
+@query(
+    "select 'part/' || p.p_partkey || '.ts' as path, case when q.p_partkey is not null then 'part/' || q.p_partkey || '.ts' end as target, "
+    "case when q.p_partkey is not null then q.p_size % 3 = 0 end as found, case when q.p_size % 3 = 0 then 'const' end as kind from part p left join part q on q.p_partkey = p.p_partkey - 1"
+)
+def import_join(spark, sf_dir):
+    """JN-19, SRC-13: a name that the file before is asked for, which every third size exports."""
+    from lintmill.operators.modules import join_imports
+
+    before = F.format_string("import { x0 as y } from '../part/./%d'; ", F.col("p_partkey") - 1)
+    scripts = _generated(spark, sf_dir, F.concat(before, F.format_string("export const x%d = 1, [z] = y;", F.col("p_size") % 3)))
+    return join_imports(parse_files(scripts, ("nodes", "symbols", "scopes"))).select("path", "target", "found", "kind")
+
+
 _families()
