@@ -9,7 +9,8 @@ Counts cover all training rows, and every n-gram is kept (``floor`` above 0 keep
 No table of n-grams is gathered: each place in a text, its word and the words before it, is dealt by the word before,
 so all n-grams, contexts and suffixes that a place needs are in one bucket of about ``capacity`` places, where its
 cost is found and summed by text. Words that occur more than ``capacity`` times are dealt by the pair they
-begin, which gives pair counts, and then by the pair they end. Only one pair's places must meet in one task. Buckets are dealt in ``turns``, each with a scan of the texts, so that no
+begin, which gives pair counts, and then by the pair they end. Only one pair's places must meet in one task,
+which holds its n-grams once and 16 bytes a place. Buckets are dealt in ``turns``, each with a scan of the texts, so that no
 more than a share of all places is on disk at once. Words with
 a share of at least ``head`` have numbers in a broadcast table (at most 1 / head); others are named by 63 bits of
 their XXH64, and their unigrams are joined. ``build`` and ``walk`` are the same automaton in one memory.
@@ -26,6 +27,7 @@ import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ from lintmill.llm.common import FOLDS, cut, fold, pieces, utf8, words
 
 #: The end token; no word contains a newline.
 END = b"\n"
-#: Distinct entries that a task holds before it hands its partial counts on.
+#: Distinct entries that a task holds before it hands its partial counts on; tokens that it turns into places at once.
 FLUSH = 400_000
+#: Chunks of tokens that are dealt together. Each flush gives a row to each bucket, so small ones would make rows that grow with the square of the input.
+CHUNKS = 6
 DISCOUNT = 0.7
 #: Costs of places are summed in these units, so sums don't depend on the order of rows.
 UNIT = 2.0**-30
@@ -221,8 +225,8 @@ def _split(p: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list
         yield int(p[a]), [c[a:b] for c in columns]
 
 
-def _flush(plan: Plan, g: int, texts: list[tuple], turn: int = 0, turns: int = 1) -> list[dict]:
-    """Rows of one flush: its texts and their first tokens at the first turn; the places after those, dealt by the word before, of the buckets whose turn it is."""
+def _chunk(plan: Plan, g: int, texts: list[tuple], number: int, turn: int, turns: int) -> tuple[list[dict], list[np.ndarray]]:
+    """Some texts of a flush, numbered from ``number``. Rows of the texts and their first tokens at the first turn; bucket, columns of the places after those whose turn it is."""
     rows: list[dict] = []
     lengths = np.array([len(t[2]) for t in texts])
     word = np.fromiter((x for t in texts for x in t[2]), dtype=np.int64, count=int(lengths.sum()))
@@ -231,72 +235,95 @@ def _flush(plan: Plan, g: int, texts: list[tuple], turn: int = 0, turns: int = 1
     # at order 1 every token is its own start
     start = at == 0 if plan.order > 1 else np.ones(len(at), dtype=bool)
     if turn == 0:
-        rows += _text_rows(plan, g, texts, word, text)
-        rows += _unigrams(plan, g, text[start], word[start], np.zeros(int(start.sum())))
+        rows += _text_rows(plan, g, texts, number, word, text)
+        base = np.rint(plan.base[np.maximum(word, 0)] / UNIT)
+        rows += _sum_rows(plan, g, text[start] + number, base[start])
+        rows += _words_of(plan, UNIGRAM, g, word[start & (word < 0)], text[start & (word < 0)] + number)
     later = np.nonzero(~start)[0]
     v = word[later - 1]
     cold = (_mix(v) % np.uint64(plan.buckets)).astype(np.int64)
     p = np.where((v > 0) & (v <= plan.hot), plan.buckets + (_mix(v, word[later]) % np.uint64(plan.hot_buckets)).astype(np.int64), cold)
     due = p % turns == turn
     later, p = later[due], p[due]
-    order = np.lexsort((word[np.maximum(later - 2, 0)], word[later], word[later - 1]))  # equal n-grams in a row, for the packing
-    later, p = later[order], p[order]
     train = np.array([t[1] for t in texts], dtype=np.int64)[text[later]]
     before = [np.where(at[later] >= k, word[np.maximum(later - k, 0)], 0) for k in range(1, plan.order)]
-    if len(later):
-        for bucket, columns in _split(p, [before[0], word[later], text[later] * 2 + train, *before[1:]]):
-            rows.append({"kind": PLACES, "p": bucket, "g": g, "body": _pack(columns)})
-    return rows
+    return rows, [p, *before[:1], word[later], (text[later] + number) * 2 + train, *before[1:]]
+
 
+def _places(p: np.ndarray, columns: list[np.ndarray], g: int) -> Iterator[dict]:
+    """A row for each bucket, equal n-grams next to one another, for the packing and for ``_chunks``."""
+    for bucket, own in _split(p, columns):
+        order = np.lexsort((*own[3:4], own[1], own[0]))
+        yield {"kind": PLACES, "p": bucket, "g": g, "body": _pack([c[order] for c in own])}
 
-def _text_rows(plan: Plan, g: int, texts: list[tuple], word: np.ndarray, text: np.ndarray) -> list[dict]:
+
+def _text_rows(plan: Plan, g: int, texts: list[tuple], number: int, word: np.ndarray, text: np.ndarray) -> list[dict]:
     rows: list[dict] = []
     head = np.bincount(text, word > 0, len(texts)).astype(np.int64).tolist()
     head_base = np.bincount(text, plan.base[np.maximum(word, 0)], len(texts)).tolist()
     for i, (doc_id, _, ids) in enumerate(texts):
-        rows.append({"kind": TEXT, "p": (g + i) % plan.buckets, "g": g, "i": i, "doc_id": doc_id, "n_tokens": len(ids), "n_head": head[i], "head_base": head_base[i]})
+        rows.append({"kind": TEXT, "p": (g + number + i) % plan.buckets, "g": g, "i": number + i, "doc_id": doc_id, "n_tokens": len(ids), "n_head": head[i], "head_base": head_base[i]})
     outside = np.nonzero(word < 0)[0]
     if len(outside):
-        number, first = _number(text[outside], _number(word[outside])[0])
-        rows.append({"kind": RARE, "p": g % plan.buckets, "g": g, "body": _pack([word[outside][first], text[outside][first], np.bincount(number)])})
+        pair, first = _number(text[outside], _number(word[outside])[0])
+        rows.append({"kind": RARE, "p": g % plan.buckets, "g": g, "body": _pack([word[outside][first], text[outside][first] + number, np.bincount(pair)])})
     return rows
 
 
-def _unigrams(plan: Plan, g: int, text: np.ndarray, word: np.ndarray, costs: np.ndarray) -> list[dict]:
-    """Sums of costs by text, with the unigrams of head words; other words are left to a join."""
-    rows: list[dict] = []
-    costs = costs + plan.base[np.maximum(word, 0)]
+def _sum_rows(plan: Plan, g: int, text: np.ndarray, units: np.ndarray) -> list[dict]:
+    """Sums of costs by text."""
     own, number = np.unique(text, return_inverse=True)
-    if len(own):
-        rows.append({"kind": SUMS, "p": g % plan.buckets, "g": g, "body": _pack([own, np.bincount(number, weights=np.rint(costs / UNIT)).astype(np.int64)])})
-    rare = word < 0
-    if rare.any():
-        rows.append({"kind": UNIGRAM, "p": g % plan.buckets, "g": g, "body": _pack([word[rare], text[rare], np.ones(int(rare.sum()), dtype=np.int64)])})
-    return rows
+    return [{"kind": SUMS, "p": g % plan.buckets, "g": g, "body": _pack([own, np.bincount(number, weights=units).astype(np.int64)])}] if len(own) else []
+
+
+def _words_of(plan: Plan, kind: int, g: int, word: np.ndarray, text: np.ndarray) -> list[dict]:
+    """Words whose cost is left to a join, with their texts."""
+    return [{"kind": kind, "p": g % plan.buckets, "g": g, "body": _pack([word, text, np.ones(len(word), dtype=np.int64)])}] if len(word) else []
 
 
 def _emit_places(plan: Plan, turn: int, turns: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of all flushes: places of the buckets whose turn it is, the other kinds at the first turn."""
     get = plan.numbers.get
 
-    def packed() -> Iterator[pa.RecordBatch]:
-        return iter(pa.Table.from_pylist(_flush(plan, g, held, turn, turns), ROWS).to_batches(1000))
+    def packed(rows) -> Iterator[pa.RecordBatch]:
+        rows = iter(rows)
+        while part := list(islice(rows, 1000)):
+            yield from pa.Table.from_pylist(part, ROWS).to_batches()
 
     held: list[tuple] = []
-    g, size = 0, 0
+    parts: list[list[np.ndarray]] = []
+    g, size, number = 0, 0, 0
+
+    def chunk() -> Iterator[pa.RecordBatch]:
+        rows, columns = _chunk(plan, g, held, number, turn, turns)
+        parts.append(columns)
+        return packed(rows)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not sum(len(x[0]) for x in parts):
+            return
+        p, *columns = [np.concatenate(c) for c in zip(*parts)]
+        parts.clear()
+        yield from packed(_places(p, columns, g))
+
     for batch in batches:
         for piece in pieces(batch, "text", 4 << 20):
             for row, doc_id, train, text in zip(piece.column("row").to_pylist(), piece.column("doc_id").to_pylist(), piece.column("train").to_pylist(), utf8(piece.column("text"))):
                 w = tokens(text)
                 ids = [get(x) or _key(x) for x in w]
-                g = row if not held else g
+                g = row if not held and not parts else g
                 held.append((doc_id, train, ids))
                 size += len(ids)
                 if size > min(plan.capacity, FLUSH):
-                    yield from packed()
+                    yield from chunk()
+                    number += len(held)
                     held, size = [], 0
+                    if len(parts) == CHUNKS:
+                        yield from flush()
+                        parts, number = [], 0
     if held:
-        yield from packed()
+        yield from chunk()
+    yield from flush()
 
 
 def _number(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -310,12 +337,44 @@ def _number(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.
     return number, order[new]
 
 
-def _bodies(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Names of the flushes, the flush of each place and the columns of the places of a bucket."""
+@dataclass(frozen=True)
+class Chunk:
+    """Some places of a bucket: flush, text with its mark, and the place's n-gram among those of the bucket."""
+
+    flush: np.ndarray
+    mark: np.ndarray
+    gram: np.ndarray
+
+
+def _chunks(plan: Plan, table: pa.Table, paired: bool) -> tuple[list[Chunk], list[np.ndarray], np.ndarray]:
+    """The places of a bucket by about ``capacity``, its n-grams (v, w, words before, pair count) and how often each is in training rows.
+
+    Equal n-grams lie next to one another in a body, so there are as many n-grams as runs; a frequent pair's places cost 16 bytes each.
+    """
     places = table.filter(pc.equal(table.column("kind"), PLACES))
-    parts = [_unpack(x) for x in places.column("body").to_pylist()]
-    flush = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
-    return places.column("g").to_numpy(), flush, [np.concatenate(c) for c in zip(*parts)]
+    names, bodies = places.column("g").to_numpy(), places.column("body")
+    chunks: list[Chunk] = []
+    grams: list[list[np.ndarray]] = []
+    times: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = []
+    size, seen = 0, 0
+    for k in range(len(names)):
+        columns = _unpack(bodies[k].as_py())
+        held.append(columns if paired else [*columns, np.full(len(columns[0]), names[k])])
+        size += len(columns[0])
+        if size < plan.capacity and k + 1 < len(names):
+            continue
+        v, w, mark, *more, flush = [np.concatenate(c) for c in zip(*held)]
+        held, size = [], 0
+        new = np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+        for c in more:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.nonzero(new)[0]
+        grams.append([c[starts] for c in (v, w, *more)])
+        times.append(np.add.reduceat(mark & 1, starts))
+        chunks.append(Chunk(flush, mark.astype(np.int32), (np.cumsum(new) - 1 + seen).astype(np.int32)))
+        seen += len(starts)
+    return chunks, [np.concatenate(c) for c in zip(*grams)], np.concatenate(times)
 
 
 def _contexts(plan: Plan, v: np.ndarray, w: np.ndarray, p: np.ndarray, wanted: np.ndarray) -> list[dict]:
@@ -332,25 +391,25 @@ def _contexts(plan: Plan, v: np.ndarray, w: np.ndarray, p: np.ndarray, wanted: n
 
 
 def _pair_bucket(plan: Plan, table: pa.Table) -> list[dict]:
-    """Hot words: counts of the pairs (v, w), which go along with the places, now dealt by (u, v)."""
-    names, flush, (v, w, mark, *before) = _bodies(table)
+    """Hot words: counts of the pairs (v, w), which go along with the places, now dealt by (u, v) without regard to flushes."""
+    chunks, (v, w, *before), times = _chunks(plan, table, False)
     number, first = _number(_number(v)[0], _number(w)[0])
-    count = np.bincount(number, weights=mark & 1).astype(np.int64)
+    count = np.bincount(number, weights=times).astype(np.int64)
     kept = first[count >= plan.least]
     rows = _contexts(plan, v[kept], w[kept], (count[number[kept]] - DISCOUNT) / plan.counts[v[kept]], np.unique(v))
     far = before[0] if before else np.zeros_like(v)
-    for bucket, columns in _split((_mix(far, v) % np.uint64(plan.hot_buckets)).astype(np.int64), [v, w, mark, *before, count[number], flush]):
-        for f, own in _split(columns.pop(), columns):
-            rows.append({"kind": PLACES, "p": bucket, "g": int(names[f]), "body": _pack(own)})
+    bucket = (_mix(far, v) % np.uint64(plan.hot_buckets)).astype(np.int64)
+    columns = [*before, count[number]]
+    for c in chunks:
+        rows += _places(bucket[c.gram], [v[c.gram], w[c.gram], c.mark.astype(np.int64), *(x[c.gram] for x in columns), c.flush], 0)
     return rows
 
 
 def _bucket(plan: Plan, table: pa.Table, paired: bool) -> list[dict]:
     """Costs of all places of a bucket: longest kept n-gram first, else the context's backoff and the next shorter one."""
-    names, flush, columns = _bodies(table)
+    chunks, columns, train = _chunks(plan, table, paired)
     pair = columns.pop() if paired else None
-    v, w, mark, *before = columns
-    train = (mark & 1).astype(np.float64)
+    v, w, *before = columns
     words_, (context, _) = _number(w)[0], _number(v)
     gram, first = _number(context, words_)
     seen = np.bincount(gram, weights=train)[gram] if pair is None else pair.astype(np.float64)
@@ -375,15 +434,20 @@ def _bucket(plan: Plan, table: pa.Table, paired: bool) -> list[dict]:
         backoff = np.where(mass > 0, np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - covered, 1e-9)), 0.0)
         costs = np.where(kept, np.log10(longer), costs + np.where(inside, backoff[context], 0.0))
         p = np.where(kept, longer, p)
-    lost = ~found
-    text = mark >> 1
-    for f, (w_, text_, costs_, lost_, v_, known_) in _split(flush, [w, text, costs, lost, v, known]):
-        g = int(names[f])
-        # places without a kept pair end at the unigram; for the rest no word is looked up
-        rows += _unigrams(plan, g, text_, np.where(lost_, w_, 0), costs_)
-        ask = lost_ & known_
-        if ask.any():
-            rows.append({"kind": BACKOFF, "p": 0, "g": g, "body": _pack([v_[ask], text_[ask], np.ones(int(ask.sum()), dtype=np.int64)])})
+    # n-grams without a kept pair end at the unigram; for the rest no word is looked up
+    units = np.rint((costs + np.where(found, 0.0, plan.base[np.maximum(w, 0)])) / UNIT)
+    rare, ask = ~found & (w < 0), ~found & known
+    for c in chunks:
+        names, flush = np.unique(c.flush, return_inverse=True)
+        text = (c.mark >> 1).astype(np.int64)
+        own, number = np.unique((flush << 32) | text, return_inverse=True)
+        sums = np.bincount(number, weights=units[c.gram]).astype(np.int64)
+        for f, (text_, sums_) in _split(own >> 32, [own & 0xFFFFFFFF, sums]):
+            rows.append({"kind": SUMS, "p": 0, "g": int(names[f]), "body": _pack([text_, sums_])})
+        for kind, which, word in ((UNIGRAM, rare, w), (BACKOFF, ask, v)):
+            at = np.nonzero(which[c.gram])[0]
+            for f, own_ in _split(flush[at], [word[c.gram[at]], text[at]]):
+                rows += _words_of(plan, kind, int(names[f]), *own_)
     return rows
 
 

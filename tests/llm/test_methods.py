@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from lintmill.llm import components, decontaminate, forest, html_text, media, mixing, near_texts, ngram, quality, secrets, simhash, substrings, suffixes, transcripts
 from pyspark.sql import functions as F
@@ -327,6 +328,24 @@ def test_lm_keeps_every_ngram(spark):
         assert len(got) == len(rows) and all(near(got[i], cost(t)) for i, t in rows), (order, capacity)
 
 
+def test_lm_rows_stay_below_the_square_of_the_flushes():
+    names = [b"w%d" % i for i in range(20)]
+    rng = random.Random(5)
+    texts = [" ".join(names[rng.randrange(20)].decode() for _ in range(299)) for _ in range(40)]
+    numbers = {w: i + 1 for i, w in enumerate([*names, ngram.END])}
+    counts = np.array([0, *[600] * 20, 40])
+    plan = ngram.Plan(numbers, counts, np.zeros(22), 3, 1, 500, 40, 20, 30)
+    batch = pa.RecordBatch.from_pydict({"row": list(range(40)), "doc_id": list(range(40)), "train": [True] * 40, "text": texts})
+    dealt = pa.Table.from_batches(ngram._emit_places(plan, 0, 1, iter([batch]))).to_pylist()
+    places = [r for r in dealt if r["kind"] == ngram.PLACES]
+    assert sum(len(ngram._unpack(r["body"])[0]) for r in places) == 40 * 299
+    assert len(places) <= 5 * 31  # a flush for each of the 20 or so lots of 500 tokens gave over 500
+    for bucket in {r["p"] for r in places if r["p"] >= plan.buckets}:
+        again = [r for r in ngram._pair_bucket(plan, pa.Table.from_pylist([r for r in places if r["p"] == bucket], ngram.ROWS)) if r["kind"] == ngram.PLACES]
+        size = sum(len(ngram._unpack(r["body"])[0]) for r in again)
+        assert len(again) <= plan.hot_buckets * (1 + size // plan.capacity)  # and here a row for nearly every place
+
+
 def test_lm_beats_base_on_held_out(spark):
     rng = random.Random(12)
     follow = {w: [f"v{rng.randrange(30)}" for _ in range(3)] for w in (f"v{i}" for i in range(30))}
