@@ -41,3 +41,10 @@ def test_only_nodes_that_rules_read(spark):
     whole = [n for n in parse_source(source, "ts")["nodes"] if n["type"] == "BinaryExpression"]
     assert parse_source(source, "ts", frozenset(("nodes",)), None, "", frozenset(("BinaryExpression",)))["nodes"] == whole
     assert [r["col"] for r in lint(in_memory(spark, {"a.ts": source}), {"preset": False, "rules": {"no-self-compare": 2}}).collect()] == [30]
+
+
+def test_budget_on_equal_scripts(spark):
+    """RUN-08 on many files of few texts in one partition."""
+    found = lint(_scripts(spark, 3000, F.repeat(F.lit("var a;\n"), (F.col("id") % 7).cast("int"))), {"preset": False, "rules": {"no-var": 2}}, budget=3)
+    counts = {r["path"]: r["count"] for r in found.groupBy("path").count().collect()}
+    assert counts == {f"{i}.ts": min(i % 7, 3) for i in range(3000) if i % 7}
