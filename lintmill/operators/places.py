@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lintmill.plans.parsed import Tables
+
 
 def with_neighbours(tokens: DataFrame) -> DataFrame:
     """Each token with the text, start and end of the tokens before and after it; one sort within a file."""
@@ -26,9 +28,17 @@ def token_before(tokens: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def comments_inside(nodes: DataFrame, comments: DataFrame) -> DataFrame:
-    """(path, node_id, text, start) of the comments within each node."""
+    """(path, node_id, text, start) of the comments within each node. The larger side is never broadcast: Spark takes what a parse gives for small."""
     c = comments.select("path", "text", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
-    return nodes.select("path", "node_id", F.col("start").alias("n_start"), F.col("end").alias("n_end")).join(c, "path").where("c_start >= n_start and c_end <= n_end").select("path", "node_id", "text", F.col("c_start").alias("start"))
+    return nodes.select("path", "node_id", F.col("start").alias("n_start"), F.col("end").alias("n_end")).hint("merge").join(c, "path").where("c_start >= n_start and c_end <= n_end").select("path", "node_id", "text", F.col("c_start").alias("start"))
+
+
+def comments_inside_files(t: Tables, types: list[str]) -> DataFrame:
+    """``comments_inside`` of the nodes of some types, in each file's own row: one parse, no shuffle."""
+    n, c = F.col("n"), F.col("c")
+    nodes = t.parsed.select("path", "comments", F.explode(F.filter("nodes", lambda x: x["type"].isin(*types))).alias("n"))
+    inside = F.filter("comments", lambda x: (x["start"] >= n["start"]) & (x["end"] <= n["end"]))
+    return nodes.select("path", n["node_id"].alias("node_id"), F.explode(inside).alias("c")).select("path", "node_id", c["text"].alias("text"), c["start"].alias("start"))
 
 
 def innermost(nodes: DataFrame, offsets: DataFrame) -> DataFrame:

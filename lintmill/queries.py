@@ -461,12 +461,12 @@ def error_budget(spark, sf_dir):
 
 @query(f"select {_PART} as path, cast(p_size as bigint) as n, cast(8 * p_size - 1 as int) as last_start from part")
 def comments_in_range(spark, sf_dir):
-    """JN-14: comments inside a function, by an interval join of places."""
-    from lintmill.operators.places import comments_inside
+    """JN-14: comments inside a function, by the intervals of places."""
+    from lintmill.operators.places import comments_inside_files
 
     source = F.concat(F.lit("() =>{"), F.repeat(F.lit(" /* c */"), F.col("p_size")), F.lit("}"))
-    t = parse_files(_generated(spark, sf_dir, source), ("nodes", "comments"))
-    found = comments_inside(t.nodes.where("type = 'ArrowFunctionExpression'"), t.comments)
+    functions = ["ArrowFunctionExpression"]
+    found = comments_inside_files(parse_files(_generated(spark, sf_dir, source), ("nodes", "comments"), types=frozenset(functions)), functions)
     return found.groupBy("path").agg(F.count("*").alias("n"), F.max("start").cast("int").alias("last_start"))
 
 

@@ -1,6 +1,7 @@
 """What parsing costs: partitions, equal texts, rows that leave a task, and joins of what a parse gives."""
 
 import pyarrow as pa
+from lintmill.operators import places
 from lintmill.operators.lint import lint, node_types
 from lintmill.plans import parsed
 from lintmill.plans.parsed import parse_files, parse_source
@@ -48,3 +49,17 @@ def test_budget_on_equal_scripts(spark):
     found = lint(_scripts(spark, 3000, F.repeat(F.lit("var a;\n"), (F.col("id") % 7).cast("int"))), {"preset": False, "rules": {"no-var": 2}}, budget=3)
     counts = {r["path"]: r["count"] for r in found.groupBy("path").count().collect()}
     assert counts == {f"{i}.ts": min(i % 7, 3) for i in range(3000) if i % 7}
+
+
+def test_comments_are_not_broadcast(spark):
+    source = "() => { /* a */ { () => { /* b */ } } } /* c */"
+    files = _scripts(spark, 300, F.lit(source))
+    t = parse_files(files, ("nodes", "comments"))
+    joined = places.comments_inside(t.nodes.where("type = 'ArrowFunctionExpression'"), t.comments)
+    inside = places.comments_inside_files(t, ["ArrowFunctionExpression"])
+    key = lambda r: (r["path"], r["node_id"], r["text"], r["start"])
+    assert sorted(map(key, joined.collect())) == sorted(map(key, inside.collect()))
+    assert inside.count() == 3 * 300
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
